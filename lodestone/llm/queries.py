@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from lodestone.llm import pii, quality, simhash, urls
+from lodestone.llm import mixing, neighbours, packing, pii, quality, simhash, urls, warc
 
 
 def queries() -> dict:
     return {
+        "op1_prefix_forest": neighbours.op1_prefix_forest,
         "op2_pii": pii.op2_pii,
+        "op3_warc": warc.op3_warc,
+        "op5_packing": packing.op5_packing,
+        "op6_mixing": mixing.op6_mixing,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_url_filter": urls.op8_url_filter,
         "op9_simhash": simhash.op9_simhash,

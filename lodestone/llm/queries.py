@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import mixing, neighbours, packing, pii, quality, simhash, urls, warc
+from lodestone.llm import mixing, neighbours, packing, pii, pitman_yor, quality, simhash, toxicity, urls, warc
 
 
 def queries() -> dict:
@@ -10,11 +10,13 @@ def queries() -> dict:
         "op1_prefix_forest": neighbours.op1_prefix_forest,
         "op2_pii": pii.op2_pii,
         "op3_warc": warc.op3_warc,
+        "op4_pitman_yor": pitman_yor.op4_pitman_yor,
         "op5_packing": packing.op5_packing,
         "op6_mixing": mixing.op6_mixing,
         "op7_quality_rules": quality.op7_quality_rules,
         "op8_url_filter": urls.op8_url_filter,
         "op9_simhash": simhash.op9_simhash,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 

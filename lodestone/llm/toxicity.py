@@ -34,14 +34,15 @@ from lodestone.llm.common import written
 FOLDS = 5
 SAMPLE = 20_000
 TERMS = 6_000
-#: A voter's term needs these log odds and so many standard errors.
-LEAST_ODDS, LEAST_Z = 1.5, 3.0
+#: A term needs this significance, the root of the likelihood ratio statistic:
+#: high, as of very many terms some tell by chance. A voter's also these log odds.
+LEAST_Z, LEAST_ODDS = 5.0, 3.5
 #: Terms: whole words, and beginnings of words of these lengths.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 8)
 LEXICONS = 5
 MARKS = ".,;:!?\"'()[]{}*%&$#|<>«»¿¡-"
 #: Voters beside the lexicons.
-PATTERNS = ("no_word", "no_stem4", "no_stem5", "no_stem6", "many_terms", "several_kinds", "shouting", "second_person")
+PATTERNS = ("no_word", "no_stem4", "no_stem5", "no_stem6", "no_stem8", "many_terms", "several_kinds", "shouting", "second_person")
 # Words that address the reader.
 YOU = frozenset("you your du dein deine dich tu toi vous votre usted tus eres".split())
 PRIOR = 0.05
@@ -98,9 +99,11 @@ def mine_terms(sample: DataFrame, terms: int = TERMS) -> list[tuple[str, float,
 
     c = sample.select("text", "toxic").mapInPandas(count, "term string, p bigint, n bigint").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     odds = F.log((F.col("p") + 0.5) / (pos - F.col("p") + 0.5)) - F.log((F.col("n") + 0.5) / (neg - F.col("n") + 0.5))
-    se = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5))
-    c = c.filter("p + n >= 3").select("term", odds.alias("odds"), (odds / se).alias("z")).filter(F.abs("z") >= 2)
-    return [tuple(r) for r in c.orderBy(F.desc(F.abs("z")), "term").limit(terms).collect()]
+    both = F.col("p") + F.col("n")
+    part = lambda c, total: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * (pos + neg) / (both * total))).otherwise(0.0)
+    z = F.sqrt(F.greatest(F.lit(0.0), 2 * (part("p", pos) + part("n", neg))))
+    c = c.filter("p + n >= 3").select("term", odds.alias("odds"), z.alias("z")).filter(F.col("z") >= LEAST_Z)
+    return [tuple(r) for r in c.orderBy(F.desc("z"), "term").limit(terms).collect()]
 
 
 class Voters:
@@ -111,7 +114,7 @@ class Voters:
         self.kinds = ["w", *map(str, STEMS)]
         self.voter = {}  # term number -> (kind, lexicon)
         for i, (term, odds, z) in enumerate(mined):
-            if odds >= LEAST_ODDS and z >= LEAST_Z:
+            if odds >= LEAST_ODDS:
                 self.voter[i] = self.kinds.index(term.partition(":")[0]), zlib.crc32(term.encode()) % LEXICONS
         self.names = [f"lexicon_{k}_{j}" for k in self.kinds for j in range(LEXICONS)] + list(PATTERNS)
 

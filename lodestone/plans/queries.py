@@ -2,10 +2,215 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestone.operators import answers, ranking, terms
+from lodestone.plans.graph import END, StageGraph
+from lodestone.sources.tables import table
+
+
+def _docs(spark, d) -> DataFrame:
+    """Documents, dealt over the cluster's cores: a small table may sit in one
+    row group, which one task would tokenize."""
+    return table(spark, d, "documents").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism)
+
+
+def _questions(spark, d) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("input"))
+
+
+def tokenize_docs(spark, d):
+    return terms.tokenize_docs(table(spark, d, "documents")).select("doc_id", "dl")
+
+
+def term_stats(spark, d):
+    return terms.term_stats(_docs(spark, d))
+
+
+def chunk_docs(spark, d):
+    return terms.chunk_docs(_docs(spark, d))
+
+
+def bm25_topk(spark, d):
+    return ranking.bm25(_docs(spark, d), _questions(spark, d))
+
+
+def tfidf_cosine_topk(spark, d):
+    return ranking.tfidf_cosine(_docs(spark, d), _questions(spark, d))
+
+
+def dense_knn(spark, d):
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return ranking.dense_knn(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+def rrf_fusion(spark, d):
+    docs, questions = _docs(spark, d), _questions(spark, d)
+    return ranking.rrf(ranking.bm25(docs, questions), ranking.tfidf_cosine(docs, questions))
+
+
+def mmr_rerank(spark, d):
+    docs = _docs(spark, d)
+    return ranking.mmr(ranking.bm25(docs, _questions(spark, d)), docs)
+
+
+def grade_filter(spark, d):
+    return answers.grade_filter(bm25_topk(spark, d), table(spark, d, "labels"))
+
+
+def dedup_exact(spark, d):
+    return answers.dedup_exact(table(spark, d, "documents"))
+
+
+def context_pack(spark, d):
+    return answers.context_pack(bm25_topk(spark, d), _docs(spark, d))
+
+
+def chat_history(spark, d):
+    return answers.chat_history(table(spark, d, "conversations"))
+
+
+def route_turn(spark, d):
+    return answers.route_turn(table(spark, d, "conversations"))
+
+
+def build_prompt(spark, d):
+    return answers.build_prompt(context_pack(spark, d), _docs(spark, d), _questions(spark, d))
+
+
+def extractive_answer(spark, d):
+    return answers.extractive_answer(_docs(spark, d), _questions(spark, d))
+
+
+def qrels(spark, d):
+    return answers.qrels(_docs(spark, d), table(spark, d, "benchmark"))
+
+
+def retrieval_eval(spark, d):
+    return answers.retrieval_eval(bm25_topk(spark, d), qrels(spark, d))
+
+
+def html_to_text(spark, d):
+    return answers.html_to_text(table(spark, d, "pages"))
+
+
+def graph_run(spark, d):
+    """The reference flow as a graph: route each turn, retrieve for user turns,
+    end the others. State: one row a turn with its node and best document."""
+    docs = _docs(spark, d)
+
+    def route(state):
+        routed = answers.route_turn(state.select("conv_id", "turn", "role", "text"))
+        return state.join(routed, ["conv_id", "turn"])
+
+    def summarize(state):
+        return state.withColumn("text", F.substring("text", 1, 400))
+
+    def retrieve(state):
+        asked = state.select(F.struct("conv_id", "turn").alias("qid"), F.col("text").alias("input"))
+        best = ranking.bm25(docs, asked, k=1).select(F.col("qid.conv_id"), F.col("qid.turn"), F.col("doc_id").alias("best_doc"))
+        return state.join(best, ["conv_id", "turn"], "left")
+
+    graph = StageGraph().add_node("route", route).add_node("summarize", summarize).add_node("retrieve", retrieve)
+    graph.add_condition("route", F.col("node"), {"retrieve", "summarize", END}).add_edge("summarize", "retrieve").add_edge("retrieve", END)
+    return graph.compile()(table(spark, d, "conversations")).select("conv_id", "turn", "node", "best_doc")
+
+
+_QUERIES = [
+    tokenize_docs, term_stats, chunk_docs, bm25_topk, tfidf_cosine_topk, dense_knn, rrf_fusion, mmr_rerank, grade_filter, dedup_exact,
+    context_pack, chat_history, route_turn, build_prompt, extractive_answer, qrels, retrieval_eval, html_to_text, graph_run,
+]
+
 
 def queries() -> dict:
-    return {}
+    return {q.__name__: q for q in _QUERIES}
+
+
+_TOK = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+
+
+def _bm25(docs: str, queries: str, k: int, doc: str = "doc_id") -> str:
+    """Common table expressions that end in `hits`."""
+    return f"""
+toks AS (SELECT {doc}, {_TOK.format("text")} AS w FROM {docs}),
+whole AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM toks),
+tf AS (SELECT {doc}, dl, term, count(*) AS tf FROM (SELECT {doc}, len(w) AS dl, unnest(w) AS term FROM toks) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+qt AS (SELECT DISTINCT qid, unnest({_TOK.format("input")}) AS term FROM {queries}),
+sc AS (SELECT qid, {doc}, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+       FROM tf JOIN df USING (term) JOIN qt USING (term), whole GROUP BY qid, {doc}),
+hits AS (SELECT qid, {doc}, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, {doc}) AS rk FROM sc QUALIFY rk <= {k})"""
+
+
+_Q = "q AS (SELECT item_id AS qid, text AS input FROM benchmark)"
+_BM25 = f"{_Q}, {_bm25('documents', 'q', 10)}"
+_TFIDF = f"""
+tn AS (SELECT count(*) AS n FROM documents),
+tp AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOK.format("text")}) AS term FROM documents) GROUP BY ALL),
+ti AS (SELECT term, ln(1 + n / count(*)) AS idf FROM tp, tn GROUP BY term, n),
+dw AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS dw FROM tp JOIN ti USING (term)),
+dn AS (SELECT doc_id, sqrt(sum(dw * dw)) AS dn FROM dw GROUP BY doc_id),
+tq AS (SELECT qid, term, count(*) AS tf FROM (SELECT qid, unnest({_TOK.format("input")}) AS term FROM q) GROUP BY ALL),
+qw AS (SELECT qid, term, (1 + ln(tf)) * idf AS qw FROM tq JOIN ti USING (term)),
+qn AS (SELECT qid, sqrt(sum(qw * qw)) AS qn FROM qw GROUP BY qid),
+ts AS (SELECT qid, doc_id, round(sum(dw * qw) / (any_value(dn) * any_value(qn)), 6) AS score
+       FROM dw JOIN qw USING (term) JOIN dn USING (doc_id) JOIN qn USING (qid) GROUP BY qid, doc_id),
+th AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rk FROM ts QUALIFY rk <= 10)"""
+_PACKED = f"""
+pk AS (SELECT qid, doc_id, rk, len(w)::BIGINT AS n_tok, (sum(len(w)) OVER (PARTITION BY qid ORDER BY rk ROWS UNBOUNDED PRECEDING))::BIGINT AS used
+       FROM hits JOIN toks USING (doc_id)),
+packed AS (SELECT * FROM pk WHERE used <= 2000)"""
+_CHUNKS = f"""
+ct AS (SELECT doc_id, {_TOK.format("text")} AS w FROM documents),
+ci AS (SELECT doc_id, w, unnest(range(0, greatest(0, ceil((len(w) - 64) / 48.0))::BIGINT + 1)) AS chunk_ix FROM ct WHERE len(w) > 0),
+chunks AS (SELECT doc_id, chunk_ix, array_to_string(w[chunk_ix * 48 + 1:chunk_ix * 48 + 64], ' ') AS chunk FROM ci)"""
+_QRELS = "rel AS (SELECT item_id AS qid, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))"
+_NODE = "CASE WHEN role = 'system' THEN 'configure' WHEN role = 'assistant' THEN 'archive' WHEN length(text) > 400 THEN 'summarize' ELSE 'retrieve' END"
+_BODY = r"""trim(regexp_replace(regexp_replace(regexp_replace(html, '<head>.*?</head>|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g'), ' ')"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "tokenize_docs": f"SELECT doc_id, len({_TOK.format('text')})::BIGINT AS dl FROM documents",
+        "term_stats": f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_TOK.format('text')}) AS term FROM documents) GROUP BY term",
+        "chunk_docs": f"WITH {_CHUNKS} SELECT * FROM chunks",
+        "bm25_topk": f"WITH {_BM25} SELECT * FROM hits",
+        "tfidf_cosine_topk": f"WITH {_Q}, {_TFIDF} SELECT * FROM th",
+        "dense_knn": """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+s AS (SELECT a.vec_id AS qid, b.vec_id, round(list_dot_product(a.e, b.e) / (a.n * b.n), 6) AS score FROM u a JOIN u b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rk FROM s QUALIFY rk <= 5""",
+        "rrf_fusion": f"""
+WITH {_BM25}, {_TFIDF},
+f AS (SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rk)), 8) AS score FROM (SELECT qid, doc_id, rk FROM hits UNION ALL SELECT qid, doc_id, rk FROM th) GROUP BY qid, doc_id)
+SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rk FROM f QUALIFY rk <= 10""",
+        "grade_filter": f"WITH {_BM25} SELECT h.* FROM hits h LEFT JOIN labels l USING (doc_id) WHERE coalesce(quality, 1) = 1 AND coalesce(toxic, 0) = 0",
+        "dedup_exact": "SELECT md5(lower(trim(text))) AS key, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
+        "context_pack": f"WITH {_BM25}, {_PACKED} SELECT * FROM packed",
+        "chat_history": """
+SELECT conv_id, turn, concat_ws(chr(10), lag(role || ': ' || text, 2) OVER w, lag(role || ': ' || text) OVER w, role || ': ' || text) AS history
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+        "route_turn": f"SELECT conv_id, turn, {_NODE} AS node FROM conversations",
+        "build_prompt": f"""
+WITH {_BM25}, {_PACKED},
+cx AS (SELECT qid, string_agg('[' || rk || '] ' || substring(text, 1, 200), chr(10) ORDER BY rk) AS context FROM packed JOIN documents USING (doc_id) GROUP BY qid)
+SELECT qid, 'Context:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || input AS prompt FROM q LEFT JOIN cx USING (qid)""",
+        "extractive_answer": f"""
+WITH {_Q}, {_CHUNKS}, keyed AS (SELECT printf('%015d', doc_id) || '/' || printf('%09d', chunk_ix) AS key, chunk AS text FROM chunks),
+{_bm25("keyed", "q", 1, "key")}
+SELECT qid, split_part(key, '/', 1)::BIGINT AS doc_id, split_part(key, '/', 2)::BIGINT AS chunk_ix, text AS answer FROM hits JOIN keyed USING (key)""",
+        "qrels": f"WITH {_QRELS} SELECT * FROM rel",
+        "retrieval_eval": f"""
+WITH {_BM25}, {_QRELS},
+p AS (SELECT r.qid, min(rk) AS best, count(rk) AS found, count(*) AS wanted FROM rel r LEFT JOIN hits h ON r.qid = h.qid AND r.doc_id = h.doc_id GROUP BY r.qid)
+SELECT count(*) AS n_queries, round(avg(CASE WHEN best IS NULL THEN 0.0::DOUBLE ELSE 1 END), 6) AS hit_at_k, round(avg(coalesce(1.0::DOUBLE / best, 0)), 6) AS mrr,
+       round(avg(found::DOUBLE / least(wanted, 10)), 6) AS recall_at_k FROM p""",
+        "html_to_text": rf"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, {_BODY} AS body FROM pages",
+        "graph_run": f"""
+WITH t AS (SELECT conv_id, turn, text, {_NODE} AS node FROM conversations),
+q AS (SELECT {{'conv_id': conv_id, 'turn': turn}} AS qid, CASE WHEN node = 'summarize' THEN substring(text, 1, 400) ELSE text END AS input FROM t WHERE node IN ('retrieve', 'summarize')),
+{_bm25("documents", "q", 1)}
+SELECT conv_id, turn, node, doc_id AS best_doc FROM t LEFT JOIN hits ON hits.qid.conv_id = t.conv_id AND hits.qid.turn = t.turn""",
+    }

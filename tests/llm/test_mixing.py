@@ -1,0 +1,71 @@
+import hashlib
+import re
+
+import pytest
+
+from lodestone.llm import mixing
+
+
+def test_fill_splits_by_weight_and_hands_on():
+    assert mixing.fill(100, [(1, 1000), (3, 1000)]) == [25, 75]
+    assert mixing.fill(100, [(1, 10), (1, 1000), (2, 1000)]) == [10, 30, 60]
+    assert mixing.fill(100, [(1, 10), (1, 20)]) == [10, 20]
+    assert mixing.fill(100, []) == [] and mixing.fill(0, [(1, 5)]) == [0]
+    assert mixing.fill(90, [(0, 50), (1, 50)]) == [0, 50]
+
+
+def test_siblings_come_before_ancestors():
+    tree = {"a": (1.0, {"en": (1.0, {"s1": 1.0, "s2": 1.0})}), "b": (1.0, {"en": (1.0, {"s3": 1.0})})}
+    tokens = {("a", "en", "s1"): 10, ("a", "en", "s2"): 500, ("b", "en", "s3"): 500}
+    got = mixing.leaf_budgets(tree, tokens, 200, 1)
+    assert got == {("a", "en", "s1"): 10, ("a", "en", "s2"): 90, ("b", "en", "s3"): 100}
+    tokens[("a", "en", "s2")] = 30  # now the shortage of a reaches b
+    assert mixing.leaf_budgets(tree, tokens, 200, 1)[("b", "en", "s3")] == 160
+
+
+def brute(rows, tree, share, epochs, seed):
+    """The chosen (doc_id, epoch), with whole sorting of every leaf."""
+    domain = {s: d for d, (_, ls) in tree.items() for _, ss in ls.values() for s in ss}
+    langs = {x for _, ls in tree.values() for x in ls}
+    sources = {s for _, ls in tree.values() for _, ss in ls.values() for s in ss}
+    leaves = {}
+    for i, text, lang, source in rows:
+        leaf = (domain.get(source, "other"), lang if lang in langs else "other", source if source in sources else "other")
+        leaves.setdefault(leaf, []).append((i, len(re.findall(r"[^ \t-\r]+", text or ""))))
+    tokens = {leaf: n for leaf, ds in leaves.items() if (n := sum(n for _, n in ds))}
+    budgets = mixing.leaf_budgets(tree, tokens, int(sum(tokens.values()) * share), epochs)
+    out = []
+    for leaf, n in tokens.items():
+        left = budgets[leaf]
+        for epoch in range(epochs):
+            run = 0
+            if left <= 0:
+                break
+            order = sorted(leaves[leaf], key=lambda d: (hashlib.md5(f"{seed}:{min(budgets[leaf] // n, epochs)}:{d[0]}".encode()).hexdigest(), d[0]))
+            if left >= n:
+                out += [(i, epoch) for i, _ in order]
+                left -= n
+                continue
+            for i, m in order:
+                run += m
+                if run > left:
+                    break
+                out.append((i, epoch))
+            break
+    return sorted(out)
+
+
+@pytest.mark.parametrize("share,epochs", [(0.8, 2), (0.1, 1), (3.0, 3)])
+def test_rows_equal_brute_force(spark, sf, share, epochs):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
+    rows = [tuple(r) for r in docs.collect()]
+    got = sorted((r.doc_id, r.epoch) for r in mixing.mix(docs, share=share, epochs=epochs).collect())
+    assert got == brute(rows, mixing.TREE, share, epochs, mixing.SEED)
+
+
+def test_odd_rows(spark):
+    rows = [(1, "a b", None, None, "x"), (2, None, "en", "src1", "x"), (3, "c d e", "xx", "new", "x"), (None, "f", "en", "src1", "x"), (4, "g h", "en", "src1", "x"), (4, "g h", "en", "src1", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, leaf string")
+    got = mixing.mix(docs, share=5.0, epochs=1).collect()
+    assert sorted((r.doc_id or 0, r.domain) for r in got if r.n_tokens) == [(0, "web"), (1, "other"), (3, "other"), (4, "web"), (4, "web")]
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mix(docs, share=0.0).count() == 0

@@ -1,0 +1,49 @@
+import random
+import zlib
+
+import numpy as np
+
+from lodestone.llm import toxicity
+
+
+def test_held_out_accuracy(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    got = toxicity.op10_toxicity(spark, folder).collect()
+    assert len(got) == 10_000
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
+    test = [(r.score, labels[r.doc_id]) for r in got if r.held_out and r.doc_id in labels]
+    right = sum((s >= 0.5) == bool(t) for s, t in test) / len(test)
+    bad, good = [s for s, t in test if t], [s for s, t in test if not t]
+    auc = np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good])
+    assert right > 0.93 and auc > 0.85
+
+
+def test_labels_of_held_out_rows_change_nothing(spark):
+    draw = random.Random(1)
+    docs = [(i, " ".join(draw.choice(["nice", "day", "sun", "road"]) for _ in range(20)) + (" vile" if i % 6 == 0 else "")) for i in range(400)]
+    docs += [(400, None), (401, ""), (None, "vile"), (3, docs[3][1])]
+    df = spark.createDataFrame([(i, t, "x", 1.0) for i, t in docs], "doc_id long, text string, lang string, score double")
+    mark = lambda flip: spark.createDataFrame([(i, 1, int((i % 6 == 0) != (flip and zlib.crc32(str(i).encode()) % 5 == 0))) for i in range(400)] + [(None, 0, 1)], "doc_id long, quality int, toxic int")
+    one, two = (sorted((str(r.doc_id), r.score) for r in toxicity.Toxicity(df, mark(flip)).score(df).collect()) for flip in (False, True))
+    assert one == two
+    score = dict(one)
+    assert score["0"] > 0.5 > score["1"] and score["None"] > 0.5 > score["400"]
+    none = toxicity.Toxicity(df, mark(False).limit(0)).score(df).collect()
+    assert {round(r.score, 6) for r in none} == {toxicity.PRIOR}
+    assert toxicity.Toxicity(df, mark(False)).score(df.limit(0)).count() == 0
+
+
+def test_label_model_finds_good_and_correlated_voters():
+    draw = np.random.default_rng(3)
+    y = draw.random(4000) < 0.2
+    votes = np.zeros((4000, 8))
+    for j in range(4):  # good voters
+        votes[:, j] = np.where(draw.random(4000) < 0.9, np.where(y, 1, -1), 0)
+    noise = np.where(draw.random(4000) < 0.5, 1, -1)
+    votes[:, 4] = votes[:, 5] = votes[:, 6] = noise  # one bad voter, copied
+    model = toxicity.LabelModel(votes)
+    assert np.mean((model.labels > 0.5) == y) > 0.97
+    assert model.weight[4] < 0.5 < model.weight[0] and model.correlation[4, 5] > 0.9

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import tokens
 from lodestone.operators import answers, ranking, terms
 from lodestone.plans.graph import END, StageGraph
 from lodestone.sources.tables import table
@@ -105,7 +106,7 @@ def graph_run(spark, d):
         return state.join(routed, ["conv_id", "turn"])
 
     def summarize(state):
-        return state.withColumn("text", F.substring("text", 1, 400))
+        return state.withColumn("text", F.array_join(F.array_distinct(tokens(F.col("text"))), " "))
 
     def retrieve(state):
         asked = state.select(F.struct("conv_id", "turn").alias("qid"), F.col("text").alias("input"))
@@ -195,7 +196,7 @@ FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
         "route_turn": f"SELECT conv_id, turn, {_NODE} AS node FROM conversations",
         "build_prompt": f"""
 WITH {_BM25}, {_PACKED},
-cx AS (SELECT qid, string_agg('[' || rk || '] ' || substring(text, 1, 200), chr(10) ORDER BY rk) AS context FROM packed JOIN documents USING (doc_id) GROUP BY qid)
+cx AS (SELECT qid, string_agg('[' || rk || '] ' || text, chr(10) ORDER BY rk) AS context FROM packed JOIN documents USING (doc_id) GROUP BY qid)
 SELECT qid, 'Context:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || input AS prompt FROM q LEFT JOIN cx USING (qid)""",
         "extractive_answer": f"""
 WITH {_Q}, {_CHUNKS}, keyed AS (SELECT printf('%015d', doc_id) || '/' || printf('%09d', chunk_ix) AS key, chunk AS text FROM chunks),
@@ -210,7 +211,7 @@ SELECT count(*) AS n_queries, round(avg(CASE WHEN best IS NULL THEN 0.0::DOUBLE
         "html_to_text": rf"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, {_BODY} AS body FROM pages",
         "graph_run": f"""
 WITH t AS (SELECT conv_id, turn, text, {_NODE} AS node FROM conversations),
-q AS (SELECT {{'conv_id': conv_id, 'turn': turn}} AS qid, CASE WHEN node = 'summarize' THEN substring(text, 1, 400) ELSE text END AS input FROM t WHERE node IN ('retrieve', 'summarize')),
+q AS (SELECT {{'conv_id': conv_id, 'turn': turn}} AS qid, text AS input FROM t WHERE node IN ('retrieve', 'summarize')),
 {_bm25("documents", "q", 1)}
 SELECT conv_id, turn, node, doc_id AS best_doc FROM t LEFT JOIN hits ON hits.qid.conv_id = t.conv_id AND hits.qid.turn = t.turn""",
     }

@@ -1,0 +1,73 @@
+"""Every retrieval query against its SQL, run by DuckDB on the same files."""
+
+import math
+
+import duckdb
+import pytest
+
+from lodestone.plans import queries
+
+TABLES = "documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def duck(sf):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    return con
+
+
+def rounded(rows):
+    return sorted(tuple(round(x, 5) if isinstance(x, float) else x for x in r) for r in rows)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_equals_its_sql(spark, sf, duck, name):
+    got = queries.queries()[name](spark, sf)
+    want = duck.sql(queries.oracle_sql()[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    columns = sorted(got.columns)
+    none_last = lambda rows: [tuple((x is None, 0 if x is None else x) for x in r) for r in rows]
+    assert rounded(none_last(map(tuple, got.select(columns).collect()))) == rounded(none_last(want.select(*columns).fetchall()))
+
+
+def test_every_query_has_sql_or_a_test():
+    assert set(queries.queries()) - set(queries.oracle_sql()) == {"mmr_rerank"}
+
+
+def test_mmr_picks_the_best_and_then_the_unlike(spark):
+    from lodestone.operators.ranking import mmr
+
+    hits = spark.createDataFrame([(1, 1, 10.0, 1), (1, 2, 9.9, 2), (1, 3, 8.0, 3)], "qid long, doc_id long, score double, rk long")
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "x y z")], "doc_id long, text string")
+    assert [r.doc_id for r in mmr(hits, docs, k=2).orderBy("rk").collect()] == [1, 3]
+
+
+def test_bm25_by_hand(spark):
+    from lodestone.operators.ranking import bm25
+
+    docs = spark.createDataFrame([(1, "red blue"), (2, "red red green green"), (3, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "Blue! blue?")], "qid long, input string")
+    got = bm25(docs.filter("text is not null"), asked).collect()
+    idf = math.log(1 + (2 - 1 + 0.5) / (1 + 0.5))
+    assert [(r.qid, r.doc_id, r.rk) for r in got] == [(7, 1, 1)]
+    assert math.isclose(got[0].score, idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 2 / 3)), abs_tol=1e-6)
+
+
+def test_chunks_cover_all_tokens(spark):
+    from lodestone.operators.terms import chunk_docs
+
+    for n in (0, 1, 63, 64, 65, 112, 113, 200):
+        words = [f"w{i}" for i in range(n)]
+        got = chunk_docs(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")).collect()
+        assert {w for r in got for w in r.chunk.split()} == set(words)
+        assert all(len(r.chunk.split()) <= 64 for r in got)
+
+
+def test_packed_tokens_keep_the_budget(spark):
+    from lodestone.operators.answers import context_pack
+
+    hits = spark.createDataFrame([(1, d, 1.0, d) for d in range(1, 5)], "qid long, doc_id long, score double, rk long")
+    docs = spark.createDataFrame([(d, "w " * 30) for d in range(1, 5)], "doc_id long, text string")
+    assert sorted((r.rk, r.used) for r in context_pack(hits, docs, budget=100).collect()) == [(1, 30), (2, 60), (3, 90)]

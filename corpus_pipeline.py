@@ -14,8 +14,12 @@ from lodestone.llm.common import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that every quality rule accepts."""
-    return quality.judge(docs).filter("kept").select(*docs.columns)
+    """Documents that every quality rule accepts.
+
+    The verdicts are written before they are filtered: a filter would be pushed
+    below the projection's steps, and each step inlined as often as it is used."""
+    judged = quality.judge(docs.select(F.struct(*docs.columns).alias("row"), "text")).select("row", "kept")
+    return written(judged, "judged").filter("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

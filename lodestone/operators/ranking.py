@@ -75,7 +75,7 @@ def dense_knn(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 8
     asked = queries.select(F.col("vec_id").alias("qid"), F.col("embedding").cast("array<double>").alias("v"))
     n, m = (max(1, -(-x.count() // block)) for x in (rows, asked))
     left = rows.withColumn("i", F.pmod(F.xxhash64("vec_id"), F.lit(n))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    right = asked.withColumn("j", F.pmod(F.xxhash64("qid"), F.lit(m)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint"))
+    right = asked.withColumn("j", F.pmod(F.xxhash64("qid"), F.lit(m)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
 
     def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(asked):

@@ -116,6 +116,7 @@ class Voters:
         for i, (term, odds, z) in enumerate(mined):
             if odds >= LEAST_ODDS:
                 self.voter[i] = self.kinds.index(term.partition(":")[0]), zlib.crc32(term.encode()) % LEXICONS
+        self.held = {kind for kind, _ in self.voter.values()}  # a kind without terms never votes
         self.names = [f"lexicon_{k}_{j}" for k in self.kinds for j in range(LEXICONS)] + list(PATTERNS)
 
     def vote(self, text: str, terms: set[int]) -> list[int]:
@@ -126,7 +127,7 @@ class Voters:
         by_kind = Counter(k for k, _ in hits)
         words = text.lower().split()
         return lexicons + [
-            *(-1 if not by_kind[k] else 0 for k in range(len(self.kinds))),
+            *(-1 if k in self.held and not by_kind[k] else 0 for k in range(len(self.kinds))),
             1 if len(hits) >= 4 else 0,
             1 if len(by_kind) >= 2 else -1 if not by_kind else 0,
             1 if words and text.count("!!") > 0.3 * len(words) else 0,
@@ -144,7 +145,9 @@ class LabelModel:
         for _ in range(rounds):
             self.prior = float(np.clip(y.mean(), 1e-3, 0.5))
             self.rates = np.stack([((1 - y) @ one.reshape(len(y), -1)), y @ one.reshape(len(y), -1)]).reshape(2, *one.shape[1:])
-            self.rates = (self.rates + 0.1) / (self.rates.sum(axis=2, keepdims=True) + 0.3)
+            # shrunk to the voter's votes over both classes: one that always votes alike tells nothing
+            overall = (one.sum(axis=0) + 1e-3) / (len(y) + 3e-3)
+            self.rates = (self.rates + 0.3 * overall) / (self.rates.sum(axis=2, keepdims=True) + 0.3)
             self.weight = 1 / self._dependence(votes, y)
             y = self._posterior(one)
         self.labels = y

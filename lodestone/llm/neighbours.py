@@ -166,8 +166,13 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id
         return pd.DataFrame([{"dim": key[0], "block": key[1], "query_ids": pdf["id"].to_numpy(np.int64).tobytes(), "queries": v.tobytes()}])
 
     bundles = rows.groupBy("dim", "block").applyInPandas(bundle, "dim int, block int, query_ids binary, queries binary")
-    # blocks of the stated query set meet every shard: rows here are whole blocks and shards
-    meet = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(bundles, ["dim", "block"])
+    # blocks of the stated query set meet every shard: a block is smaller than a
+    # shard, so blocks are copied and each shard moves once, to where its groups are
+    last = {r[0]: r[1] for r in index.groupBy("dim").agg(F.max("shard")).collect()}
+    of = F.lit(None).cast("int")
+    for dim, shard in last.items():
+        of = F.when(F.col("dim") == dim, shard).otherwise(of)
+    meet = bundles.withColumn("shard", F.explode(F.sequence(F.lit(0), of))).join(index, ["dim", "shard"])
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         got = []

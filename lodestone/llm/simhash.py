@@ -16,6 +16,10 @@ tile pair comes a spanning forest of its links, which has the same components
 as the links and never more rows than fingerprints. The work on pairs grows
 with the square of the number of distinct fingerprints, as the method has it.
 
+The corpus pipeline's stage, keep_one, takes wide fingerprints of sets of
+distinct shingles as proposals only, and links what an exact Jaccard similarity
+confirms.
+
 Defined cases: a null text counts as empty; a text without words has the
 fingerprint zero, which links like any other; repeated rows get equal results;
 a null id gets a component like any other row, and counts for the smallest id
@@ -37,6 +41,8 @@ TILE = 65536
 SEED = 42
 #: Shingle hashes whose bits are counted at once, and comparisons at once.
 AT_ONCE, BLOCK = 32768, 1 << 17
+#: Bytes of shingle sets of a proposed component that one task confirms.
+PART = 32 << 20
 
 
 def shingles(text: str, size: int) -> list[bytes]:
@@ -218,16 +224,128 @@ def radius_for(similarity: float, width: int) -> int:
     return round(64 * width * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi)
 
 
-def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, width: int = 4, slack: int = 5) -> DataFrame:
+def shingle_set(text: str, size: int) -> np.ndarray:
+    """XXH64 of the distinct shingles of a text, in order."""
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles(text, size)), np.uint64))
+
+
+def set_print(found: np.ndarray, width: int) -> bytes:
+    """The fingerprint of a set of shingle hashes, each counted once: every
+    hash is mixed into 64 * width bits."""
+    totals = np.zeros(64 * width, np.int64)
+    steps = np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(0, len(found), AT_ONCE):
+        z = found[k : k + AT_ONCE, None] + steps
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        totals += np.unpackbits(z.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(totals * 2 > len(found)).tobytes()
+
+
+def set_columns(text: Column, size: int, width: int, whole: bool) -> Column:
+    """struct of fp, node and ones as in fingerprint, from distinct shingles;
+    the node stands for the set. whole: also the set, as packed numbers."""
+
+    @F.pandas_udf("fp binary, node bigint, ones int" + ", hashes binary" * whole)
+    def columns(texts: pd.Series) -> pd.DataFrame:
+        found = [shingle_set(t, size) for t in texts.fillna("")]
+        fp = [set_print(x, width) for x in found]
+        node = [int.from_bytes(xxhash.xxh64_digest(x.tobytes()), "big", signed=True) for x in found]
+        out = {"fp": fp, "node": node, "ones": [int.from_bytes(x, "big").bit_count() for x in fp]}
+        if whole:
+            out["hashes"] = [x.tobytes() for x in found]
+        return pd.DataFrame(out)
+
+    return columns(text.cast("string"))
+
+
+def confirmed(prints: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float, part: np.ndarray | None = None) -> tuple[list[int], list[int]]:
+    """A spanning forest of the pairs of sets whose Jaccard similarity is
+    similarity or more, among those whose prints (rows of unsigned 64-bit
+    numbers) differ in radius bits at most; part: only of different parts."""
+    size = np.array([len(x) for x in sets])
+    order = np.argsort(size, kind="stable")
+    size, prints, part = size[order], prints[order], None if part is None else part[order]
+    _, which = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+    ends = np.cumsum(size)
+    starts = ends - size
+    mark = np.zeros(len(which), bool)
+    label, left, right = np.arange(len(order)), [], []
+    for i in range(1, len(order)):
+        from_ = np.searchsorted(size[:i] / max(1, size[i]), similarity)  # smaller sets cannot be as similar
+        far = np.bitwise_count(prints[from_:i] ^ prints[i]).sum(axis=1)
+        near = from_ + np.argsort(far, kind="stable")[: np.count_nonzero(far <= radius)]
+        if part is not None:
+            near = near[part[near] != part[i]]
+        near = near[label[near] != label[i]]
+        mine = which[starts[i] : ends[i]]
+        mark[mine] = True
+        while len(near):
+            j, near = near[0], near[1:]
+            common = np.count_nonzero(mark[which[starts[j] : ends[j]]])
+            if common and common / (size[i] + size[j] - common) >= similarity:
+                left.append(int(order[j]))
+                right.append(int(order[i]))
+                label[label == label[j]] = label[i]
+                near = near[label[near] != label[i]]
+        mark[mine] = False
+    return left, right
+
+
+def confirmed_links(docs: DataFrame, classes: DataFrame, id: str, text: str, size: int, similarity: float, width: int, radius: int, part_bytes: int = PART) -> DataFrame:
+    """Links (a, b) of nodes with the components of all confirmed pairs.
+
+    The tiles propose components. The sets of a proposed component meet in one
+    task, many small components in a task; a component of more than part_bytes
+    is dealt into parts by hash, of which every two meet.
+    """
+    roots = components(fingerprint_links(classes, radius, width), "proposed")
+    ids = classes.join(roots, "node", "left_semi").select(F.col("least").alias("member_id")).distinct()
+    members = docs.join(ids, docs[id].eqNullSafe(ids["member_id"]), "left_semi").select(set_columns(F.col(text), size, width, True).alias("set"))
+    # written first: a filter on the node would be pushed below the function
+    members = written(members.select("set.fp", "set.node", "set.hashes"), "members").dropDuplicates(["node"]).join(roots, "node")
+    members = written(members, "members")
+    whole = members.agg(F.sum(F.octet_length("hashes").cast("long"))).first()[0] or 0
+    parts = members.groupBy("root").agg(F.ceil(F.sum(F.octet_length("hashes").cast("long") + 64) / part_bytes).cast("int").alias("parts"))
+    group = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root"), F.lit(whole // part_bytes + 8))).otherwise(F.col("root"))
+    dealt = members.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select(group.alias("g"), F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "root", "part", "node", "fp", "hashes")
+
+    def confirm(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        for _, own in pdf.groupby("root", sort=True):
+            if len(own) == 1:
+                continue
+            prints = np.frombuffer(b"".join(own["fp"]), np.uint64).reshape(-1, width)
+            sets = [np.frombuffer(x, np.uint64) for x in own["hashes"]]
+            nodes = own["node"].to_numpy(np.int64)
+            i, j = confirmed(prints, sets, radius, similarity, own["part"].to_numpy() if key[1] != key[2] else None)
+            a += nodes[i].tolist()
+            b += nodes[j].tolist()
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return dealt.groupBy("g", "p", "q").applyInPandas(confirm, "a bigint, b bigint")
+
+
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, width: int = 4, slack: int = 34, part_bytes: int = PART) -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest id; of
     rows with that id and equal texts one stays.
 
-    64 bits cannot tell a similarity of 0.8 from one of 0.6, so the stage takes
-    256: the radius is the mean distance at the wanted similarity and slack
-    more bits, which is about one standard deviation.
+    Texts are linked where the Jaccard similarity of their distinct shingles
+    is similarity or more, and groups are what links connect. Fingerprints only
+    propose: the radius is the mean distance at the wanted similarity and slack
+    more bits. Of all pairs of sets at 0.8 those of four and five shingles
+    differ most, in 48 bits and a standard deviation of 6; the radius of 73 is
+    four of these more, and six for long texts.
     """
-    found = near_duplicates(docs, id, text, size, radius_for(similarity, width) + slack, width)
-    found = found.filter(F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias("kept_id")).distinct()
+    prints = docs.select(F.col(id).alias("id"), set_columns(F.col(text), size, width, False).alias("print"))
+    prints = written(prints.select("id", "print.fp", "print.node", "print.ones"), "prints")
+    classes = prints.groupBy("node").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.min("ones").alias("ones"))
+    links = confirmed_links(docs, classes, id, text, size, similarity, width, radius_for(similarity, width) + slack, part_bytes)
+    named = classes.join(components(links), "node", "left").select("least", F.coalesce("root", "node").alias("root"))
+    found = named.groupBy("root").agg(F.min("least").alias("kept_id")).select("kept_id").distinct()
     return docs.join(found, docs[id].eqNullSafe(found["kept_id"]), "left_semi").dropDuplicates([id, text])
 
 

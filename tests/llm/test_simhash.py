@@ -84,3 +84,42 @@ def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 90)] + [(3, 3), (200, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 0 for i in range(90)}
+
+
+def five_words(text):
+    words = text.lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def kept_by_brute_force(rows, similarity=0.8):
+    """The smallest id of each group that pairs of such a Jaccard similarity
+    connect, with the number of pairs from 0.7 to 0.9 on both sides."""
+    sets = [five_words(t) for _, t in rows]
+    group, below, above = list(range(len(rows))), 0, 0
+    for i in range(len(rows)):
+        for j in range(i):
+            both, every = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            below += 0.7 * every <= both < similarity * every
+            above += similarity * every <= both < 0.9 * every
+            if both >= similarity * every:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return sorted({min(rows[j][0] for j in range(len(rows)) if group[j] == g) for g in group}), below, above
+
+
+def test_kept_rows_equal_brute_force_jaccard(spark):
+    draw = random.Random(8)
+    texts = ["one two three four five six seven eight", "one two three four five six seven eight nine"]  # 4 of 5 shingles
+    for _ in range(150):
+        n = draw.choice((30, 60, 300))
+        words = [f"x{draw.randint(0, 100_000)}" for _ in range(n)]
+        other = list(words)
+        for k in draw.sample(range(2, n - 2), max(1, round(n * draw.uniform(0.011, 0.036)))):
+            other[k] = f"y{draw.randint(0, 100_000)}"
+        texts += [" ".join(words), " ".join(other)]
+    rows = list(enumerate(texts))
+    want, below, above = kept_by_brute_force(rows)
+    assert below > 20 and above > 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for part_bytes in (simhash.PART, 1500):  # and with components dealt into parts
+        assert sorted(r.doc_id for r in simhash.keep_one(docs, part_bytes=part_bytes).collect()) == want

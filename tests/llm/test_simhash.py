@@ -123,3 +123,14 @@ def test_kept_rows_equal_brute_force_jaccard(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     for part_bytes in (simhash.PART, 1500):  # and with components dealt into parts
         assert sorted(r.doc_id for r in simhash.keep_one(docs, part_bytes=part_bytes).collect()) == want
+
+
+def test_pages_with_one_repeated_line_stay(spark):
+    draw = random.Random(9)
+    line = " ".join(f"menu{k}" for k in range(8))
+    texts = []
+    for _ in range(20):
+        own = [f"z{draw.randint(0, 100_000)}" for _ in range(336)]
+        texts.append("\n".join(" ".join(own[k * 18 : k * 18 + 18]) + " " + line + " ." for k in range(18)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.keep_one(docs).count() == 20

@@ -51,7 +51,19 @@ _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?: ?[A-Z0-9]){11,30}))")
+_TOKEN = re.compile(r"[A-Z0-9]+(?![A-Za-z0-9])")
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    c: n
+    for n, cs in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items()
+    for c in cs.split()
+}
 _PHONE_LOCAL = re.compile(r"(?<![0-9(+)-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -106,10 +118,22 @@ def _phones(text: str):
 
 
 def _ibans(text: str):
+    """A word or number may follow after a space, so an IBAN can end after each
+    token: where its country's length says or, for other countries, at the last
+    end that mod-97 confirms. The search goes on from there."""
+    done = 0
     for m in _IBAN.finditer(text):
-        plain = m[0].replace(" ", "")
-        if 15 <= len(plain) <= 34 and mod97(plain):
-            yield m.span()
+        start = m.start()
+        if start < done:
+            continue
+        for t in reversed(list(_TOKEN.finditer(text, start, m.end(1) + 1))):
+            end = t.end()
+            plain = text[start:end].replace(" ", "")
+            known = IBAN_LENGTHS.get(plain[:2])
+            if (len(plain) == known if known else 15 <= len(plain) <= 34) and end <= m.end(1) and mod97(plain):
+                yield start, end
+                done = end
+                break
 
 
 def _locals(text: str):

@@ -36,6 +36,19 @@ def test_method_adds_confirmed_spans():
     assert near > far
 
 
+def test_iban_before_other_words():
+    found = lambda t: [t[a:b] for k, a, b, _ in pii.find_spans(t) if k == "iban"]
+    de, gb = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    for after in (" BIC COBADEFFXXX", " 2024", " A", " Bank", " bitte", ".", "", " 1 2 3 4 5 6 7 8 9", " BIC"):
+        assert found(f"IBAN {de}{after}") == [de], after
+        assert found(f"IBAN {gb}{after}") == [gb], after
+    assert found(f"{de} {gb} {de}") == [de, gb, de]
+    assert found(f"IBAN {de}X BIC") == found(f"IBAN {de[:-1]}1 BIC COBADEFFXXX") == []
+    other = next(f"ZZ{k:02}12345678901234" for k in range(2, 99) if pii.mod97(f"ZZ{k:02}12345678901234"))
+    assert found(f"IBAN {other} bank") == [other] and found(f"IBAN {other} ") == [other]
+    assert pii.masked(f"IBAN {de} BIC X", pii.find_spans(f"IBAN {de} BIC X")) == "IBAN [IBAN] BIC X"
+
+
 def test_table(spark):
     rows = [(1, None, "s"), (2, "", "s"), (2, "mail a@b.co, ip 1.2.3.4", "s"), (2, "mail a@b.co, ip 1.2.3.4", "s"), (None, "9" * 30_000 + "@" * 30_000, "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, got string")

@@ -14,8 +14,8 @@ other. What comes to the driver is a few numbers a leaf; leaves are bounded by
 the given tree, as names that it lacks count as "other" at each level.
 
 Defined cases: null domains, languages and sources count as "other"; a null or
-empty text has no tokens and goes with its leaf's order; repeated rows are
-taken each; an empty table or a budget of 0 gives no rows; extra columns pass
+empty text has no tokens and goes with its leaf's order, once where the whole
+leaf has no tokens; repeated rows are taken each; an empty table or a budget of 0 gives no rows; extra columns pass
 through, and an input column with the name of an output column is replaced.
 """
 
@@ -119,6 +119,7 @@ def mix(docs: DataFrame, tree=TREE, domain: Column | None = None, share: float =
     tokens = {leaf: n for leaf, n in stats.items() if n}
     budgets = leaf_budgets(tree, tokens, int(sum(tokens.values()) * share), epochs)
     plan = [(leaf, min(budgets[leaf] // n, epochs), budgets[leaf] % n if budgets[leaf] // n < epochs else 0) for leaf, n in tokens.items()]
+    plan += [(leaf, 1, 0) for leaf in stats if leaf not in tokens and any(budgets.values())]  # costs nothing
     plan = spark.createDataFrame(plan, "leaf struct<d:string,l:string,s:string>, whole int, rest long")  # a row for each leaf of the tree at most
 
     def order(key: Column) -> Column:

@@ -69,3 +69,11 @@ def test_odd_rows(spark):
     got = mixing.mix(docs, share=5.0, epochs=1).collect()
     assert sorted((r.doc_id or 0, r.domain) for r in got if r.n_tokens) == [(0, "web"), (1, "other"), (3, "other"), (4, "web"), (4, "web")]
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mix(docs, share=0.0).count() == 0
+
+
+def test_leaf_without_tokens_is_taken_once(spark):
+    rows = [(1, "a b c", "en", "src0"), (2, "d e f", "de", "src1"), (3, "", "fr", "src2"), (4, None, "fr", "src2"), (5, "", "es", "src3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = [(r.doc_id, r.epoch) for r in mixing.mix(docs, share=1.0).collect()]
+    assert sorted(x for x in got if x[0] > 2) == [(3, 0), (4, 0), (5, 0)] and len(got) > 3
+    assert mixing.mix(docs, share=0.0).count() == 0

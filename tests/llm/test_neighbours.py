@@ -58,3 +58,18 @@ def test_recall(spark):
     got = neighbours.nearest(index, vectors.filter(F.col("vec_id") % 100 == 0)).collect()
     hits = sum((r.vec_id in {i for i, _ in want[r.query_id]}) for r in got)
     assert hits >= 0.9 * sum(map(len, want.values()))
+
+
+def test_recall_of_a_full_shard():
+    """As many vectors as a production shard has, of one norm and of many."""
+    draw = np.random.default_rng(5)
+    v = draw.standard_normal((neighbours.SHARD, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for scale in (np.ones(len(v)), draw.lognormal(0, 0.5, len(v))):
+        x = v * scale[:, None]
+        forest, ids = neighbours.Forest.build(np.arange(len(x)), x), np.arange(0, len(x), 40)
+        found = {(q, i) for q, i, _ in forest.search(ids, x[ids], 10, neighbours.SHARE)}
+        far = ((x[ids][:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+        far[np.arange(len(ids)), ids] = np.inf
+        want = {(q, i) for q, row in zip(ids, np.argsort(far, axis=1)[:, :10]) for i in row}
+        assert len(found & want) >= 0.9 * len(want)

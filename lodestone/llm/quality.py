@@ -4,6 +4,9 @@ Everything is a DataFrame expression: no user functions, no shuffle. Each row
 is judged from its own text, so the plan is a scan and a few projections at any
 size, and a hot source or a group of copies costs nothing extra.
 
+Limit: stop words are those of STOP_WORDS's four languages, compared with case
+as it stands; clean text in other languages or in capitals is rejected.
+
 Defined cases: a null text counts as empty; an empty text has no words and is
 rejected by the word minimum; repeated rows are judged alike; an empty table
 gives an empty table; extra columns pass through, and an input column with the

@@ -3,8 +3,10 @@
 A node is a function DataFrame -> DataFrame. Rows leave a node by an edge, or
 by a condition: a column that names the next node of each row. Rows that reach
 END are done. Each step runs every node once over the rows that wait for it, so
-a step is one Spark plan however many rows there are; loops end after
-max_steps, and the state is checkpointed as it grows old.
+a step is one Spark plan however many rows there are. What a node with several
+targets gives is written once to the shared folder and read by each, so a loop
+does not multiply work. Rows that have not ended after max_steps are an error:
+none is lost silently.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import written
+
 END = "__end__"
 NODE = "__node__"
 
@@ -57,23 +61,38 @@ class StageGraph:
                 raise ValueError(f"an edge of {start} leads nowhere")
         return self.invoke
 
-    def invoke(self, state: DataFrame, max_steps: int = 10, checkpoint_every: int = 5) -> DataFrame:
-        """The state of all rows that reached END within max_steps."""
+    def invoke(self, state: DataFrame, max_steps: int = 10) -> DataFrame:
+        """The state of all rows, each as it reached END. Raises RuntimeError
+        if some have not after max_steps."""
         waiting = {self._entry: state}
         done: list[DataFrame] = []
-        for step in range(max_steps):
+        for _ in range(max_steps):
             arrived: dict[str, list[DataFrame]] = {}
             for name, rows in waiting.items():
                 out = self._nodes[name](rows)
                 targets = self._targets.get(name, set())
-                choose = self._next.get(name, F.lit(END))
-                out = out.withColumn(NODE, F.coalesce(F.when(choose.isin(*targets), choose), F.lit(END)) if targets else F.lit(END))
-                for target in {*targets, END} if targets != {END} else {END}:
+                if name not in self._next or targets == {END}:
+                    done.append(out)
+                    continue
+                choose = self._next[name]
+                out = written(out.withColumn(NODE, F.coalesce(F.when(choose.isin(*targets), choose), F.lit(END))), "state")
+                for target in {*targets, END}:
                     part = out.filter(F.col(NODE) == target).drop(NODE)
                     (done if target == END else arrived.setdefault(target, [])).append(part)
             waiting = {name: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) for name, parts in arrived.items()}
+            # a loop may have ended for all rows; a graph without loops needs no look
+            if len(self._nodes) < max_steps and not self._loops():
+                continue
+            waiting = {name: rows for name, rows in waiting.items() if not rows.isEmpty()}
             if not waiting:
                 break
-            if (step + 1) % checkpoint_every == 0:
-                waiting = {name: rows.checkpoint() for name, rows in waiting.items()}
+        if waiting and any(not rows.isEmpty() for rows in waiting.values()):
+            raise RuntimeError(f"rows wait at {', '.join(sorted(waiting))} after {max_steps} steps")
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), done)
+
+    def _loops(self) -> bool:
+        """Whether some node can be reached from itself."""
+        reach = {n: set(t) for n, t in self._targets.items()}
+        for _ in reach:
+            reach = {n: t.union(*(reach.get(x, set()) for x in t)) for n, t in reach.items()}
+        return any(n in t for n, t in reach.items())

@@ -5,22 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import tokens
+from lodestone.functions.text import ENTITIES, HIDDEN, TITLE, tokens
 from lodestone.operators import answers, ranking, terms
+from lodestone.operators.terms import Index
 from lodestone.plans.graph import END, StageGraph
+from lodestone.settings import Settings
 from lodestone.sources.tables import table
 
+S = Settings()
+
 
 def _docs(spark, d) -> DataFrame:
-    """Documents, dealt over the cluster's cores: a small table may sit in one
-    row group, which one task would tokenize."""
-    return table(spark, d, "documents").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism)
+    return terms.spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def _index(spark, d) -> Index:
+    return Index(_docs(spark, d))
 
 
 def _questions(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("input"))
 
 
+def _bm25_hits(index, spark, d, k=S.k) -> DataFrame:
+    return ranking.bm25(index, _questions(spark, d), k, S.k1, S.b)
+
+
 def tokenize_docs(spark, d):
     return terms.tokenize_docs(table(spark, d, "documents")).select("doc_id", "dl")
 
@@ -30,30 +40,30 @@ def term_stats(spark, d):
 
 
 def chunk_docs(spark, d):
-    return terms.chunk_docs(_docs(spark, d))
+    return terms.chunk_docs(_docs(spark, d), S.chunk, S.stride)
 
 
 def bm25_topk(spark, d):
-    return ranking.bm25(_docs(spark, d), _questions(spark, d))
+    return _bm25_hits(_index(spark, d), spark, d)
 
 
 def tfidf_cosine_topk(spark, d):
-    return ranking.tfidf_cosine(_docs(spark, d), _questions(spark, d))
+    return ranking.tfidf_cosine(_index(spark, d), _questions(spark, d), S.k)
 
 
 def dense_knn(spark, d):
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
-    return ranking.dense_knn(vectors, vectors.filter("vec_id % 50 = 0"))
+    return ranking.dense_knn(vectors, vectors.filter("vec_id % 50 = 0"), S.neighbours)
 
 
 def rrf_fusion(spark, d):
-    docs, questions = _docs(spark, d), _questions(spark, d)
-    return ranking.rrf(ranking.bm25(docs, questions), ranking.tfidf_cosine(docs, questions))
+    index = _index(spark, d)
+    return ranking.rrf(_bm25_hits(index, spark, d), ranking.tfidf_cosine(index, _questions(spark, d), S.k), k=S.k, constant=S.fusion)
 
 
 def mmr_rerank(spark, d):
-    docs = _docs(spark, d)
-    return ranking.mmr(ranking.bm25(docs, _questions(spark, d)), docs)
+    index = _index(spark, d)
+    return ranking.mmr(_bm25_hits(index, spark, d), index, S.picks, S.trade)
 
 
 def grade_filter(spark, d):
@@ -64,8 +74,13 @@ def dedup_exact(spark, d):
     return answers.dedup_exact(table(spark, d, "documents"))
 
 
+def _packed(spark, d) -> DataFrame:
+    index = _index(spark, d)
+    return answers.context_pack(_bm25_hits(index, spark, d), index, S.budget)
+
+
 def context_pack(spark, d):
-    return answers.context_pack(bm25_topk(spark, d), _docs(spark, d))
+    return _packed(spark, d)
 
 
 def chat_history(spark, d):
@@ -73,15 +88,15 @@ def chat_history(spark, d):
 
 
 def route_turn(spark, d):
-    return answers.route_turn(table(spark, d, "conversations"))
+    return answers.route_turn(table(spark, d, "conversations"), S.long_turn)
 
 
 def build_prompt(spark, d):
-    return answers.build_prompt(context_pack(spark, d), _docs(spark, d), _questions(spark, d))
+    return answers.build_prompt(_packed(spark, d), table(spark, d, "documents"), _questions(spark, d))
 
 
 def extractive_answer(spark, d):
-    return answers.extractive_answer(_docs(spark, d), _questions(spark, d))
+    return answers.extractive_answer(_docs(spark, d), _questions(spark, d), S.chunk, S.stride)
 
 
 def qrels(spark, d):
@@ -89,7 +104,7 @@ def qrels(spark, d):
 
 
 def retrieval_eval(spark, d):
-    return answers.retrieval_eval(bm25_topk(spark, d), qrels(spark, d))
+    return answers.retrieval_eval(bm25_topk(spark, d), qrels(spark, d), S.k)
 
 
 def html_to_text(spark, d):
@@ -99,19 +114,18 @@ def html_to_text(spark, d):
 def graph_run(spark, d):
     """The reference flow as a graph: route each turn, retrieve for user turns,
     end the others. State: one row a turn with its node and best document."""
-    docs = _docs(spark, d)
+    index = _index(spark, d)
 
     def route(state):
-        routed = answers.route_turn(state.select("conv_id", "turn", "role", "text"))
-        return state.join(routed, ["conv_id", "turn"])
+        return state.withColumn("node", answers.next_node(S.long_turn))
 
     def summarize(state):
         return state.withColumn("text", F.array_join(F.array_distinct(tokens(F.col("text"))), " "))
 
     def retrieve(state):
         asked = state.select(F.struct("conv_id", "turn").alias("qid"), F.col("text").alias("input"))
-        best = ranking.bm25(docs, asked, k=1).select(F.col("qid.conv_id"), F.col("qid.turn"), F.col("doc_id").alias("best_doc"))
-        return state.join(best, ["conv_id", "turn"], "left")
+        best = ranking.bm25(index, asked, k=1).select(F.col("qid").alias("asked"), F.col("doc_id").alias("best_doc"))
+        return state.join(best, F.struct("conv_id", "turn").eqNullSafe(F.col("asked")), "left").drop("asked")
 
     graph = StageGraph().add_node("route", route).add_node("summarize", summarize).add_node("retrieve", retrieve)
     graph.add_condition("route", F.col("node"), {"retrieve", "summarize", END}).add_edge("summarize", "retrieve").add_edge("retrieve", END)
@@ -168,7 +182,14 @@ ci AS (SELECT doc_id, w, unnest(range(0, greatest(0, ceil((len(w) - 64) / 48.0))
 chunks AS (SELECT doc_id, chunk_ix, array_to_string(w[chunk_ix * 48 + 1:chunk_ix * 48 + 64], ' ') AS chunk FROM ci)"""
 _QRELS = "rel AS (SELECT item_id AS qid, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))"
 _NODE = "CASE WHEN role = 'system' THEN 'configure' WHEN role = 'assistant' THEN 'archive' WHEN length(text) > 400 THEN 'summarize' ELSE 'retrieve' END"
-_BODY = r"""trim(regexp_replace(regexp_replace(regexp_replace(html, '<head>.*?</head>|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g'), ' ')"""
+def _duck_decoded(text: str) -> str:
+    for name, char in ENTITIES.items():
+        text = "replace({}, '{}', '{}')".format(text, *(x.replace("'", "''") for x in (name, char)))
+    return text
+
+
+_BODY = rf"""trim(regexp_replace({_duck_decoded(f"regexp_replace(regexp_replace(html, '{HIDDEN}', ' ', 'g'), '<[^>]*>', ' ', 'g')")}, '[ \t\n\r]+', ' ', 'g'), ' ')"""
+_TITLE = _duck_decoded(f"regexp_extract(html, '{TITLE}', 1)")
 
 
 def oracle_sql() -> dict[str, str]:
@@ -208,7 +229,7 @@ WITH {_BM25}, {_QRELS},
 p AS (SELECT r.qid, min(rk) AS best, count(rk) AS found, count(*) AS wanted FROM rel r LEFT JOIN hits h ON r.qid = h.qid AND r.doc_id = h.doc_id GROUP BY r.qid)
 SELECT count(*) AS n_queries, round(avg(CASE WHEN best IS NULL THEN 0.0::DOUBLE ELSE 1 END), 6) AS hit_at_k, round(avg(coalesce(1.0::DOUBLE / best, 0)), 6) AS mrr,
        round(avg(found::DOUBLE / least(wanted, 10)), 6) AS recall_at_k FROM p""",
-        "html_to_text": rf"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, {_BODY} AS body FROM pages",
+        "html_to_text": f"SELECT page_id, {_TITLE} AS title, {_BODY} AS body FROM pages",
         "graph_run": f"""
 WITH t AS (SELECT conv_id, turn, text, {_NODE} AS node FROM conversations),
 q AS (SELECT {{'conv_id': conv_id, 'turn': turn}} AS qid, text AS input FROM t WHERE node IN ('retrieve', 'summarize')),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SCHEMAS = {
@@ -25,9 +26,7 @@ def read_documents(spark: SparkSession, path: str, format: str = "parquet", **op
     """Documents from Parquet, ORC, JSON lines, CSV or plain text. Plain text
     is one document a file, numbered by a hash of its path."""
     if format == "text":
-        from pyspark.sql import functions as F
-
-        files = spark.read.option("wholetext", True).options(**options).text(path)
+        files = spark.read.options(**options).text(path, wholetext=True)
         name = F.input_file_name()
         return files.select(F.xxhash64(name).alias("doc_id"), F.col("value").alias("text"), F.lit(None).cast("string").alias("lang"), name.alias("source"), F.length("value").cast("bigint").alias("n_chars"))
     schema = T._parse_datatype_string(SCHEMAS["documents"])

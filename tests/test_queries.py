@@ -38,18 +38,20 @@ def test_every_query_has_sql_or_a_test():
 
 def test_mmr_picks_the_best_and_then_the_unlike(spark):
     from lodestone.operators.ranking import mmr
+    from lodestone.operators.terms import Index
 
     hits = spark.createDataFrame([(1, 1, 10.0, 1), (1, 2, 9.9, 2), (1, 3, 8.0, 3)], "qid long, doc_id long, score double, rk long")
     docs = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "x y z")], "doc_id long, text string")
-    assert [r.doc_id for r in mmr(hits, docs, k=2).orderBy("rk").collect()] == [1, 3]
+    assert [r.doc_id for r in mmr(hits, Index(docs), k=2).orderBy("rk").collect()] == [1, 3]
 
 
 def test_bm25_by_hand(spark):
     from lodestone.operators.ranking import bm25
+    from lodestone.operators.terms import Index
 
     docs = spark.createDataFrame([(1, "red blue"), (2, "red red green green"), (3, None)], "doc_id long, text string")
     asked = spark.createDataFrame([(7, "Blue! blue?")], "qid long, input string")
-    got = bm25(docs.filter("text is not null"), asked).collect()
+    got = bm25(Index(docs.filter("text is not null")), asked).collect()
     idf = math.log(1 + (2 - 1 + 0.5) / (1 + 0.5))
     assert [(r.qid, r.doc_id, r.rk) for r in got] == [(7, 1, 1)]
     assert math.isclose(got[0].score, idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 2 / 3)), abs_tol=1e-6)
@@ -67,7 +69,8 @@ def test_chunks_cover_all_tokens(spark):
 
 def test_packed_tokens_keep_the_budget(spark):
     from lodestone.operators.answers import context_pack
+    from lodestone.operators.terms import Index
 
     hits = spark.createDataFrame([(1, d, 1.0, d) for d in range(1, 5)], "qid long, doc_id long, score double, rk long")
     docs = spark.createDataFrame([(d, "w " * 30) for d in range(1, 5)], "doc_id long, text string")
-    assert sorted((r.rk, r.used) for r in context_pack(hits, docs, budget=100).collect()) == [(1, 30), (2, 60), (3, 90)]
+    assert sorted((r.rk, r.used) for r in context_pack(hits, Index(docs), budget=100).collect()) == [(1, 30), (2, 60), (3, 90)]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import shared_dir, shared_path, written
+
+__all__ = ["LOWER", "SPACES", "UPPER", "ascii_lower", "fresh_name", "shared_dir", "shared_path", "whole_text", "words_of", "written"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: The white space that parts words: space and \x09 to \x0D.
@@ -35,25 +37,3 @@ def fresh_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    This is spark.checkpoint.dir; where that is unset, as in tests, a folder
-    in the warehouse.
-    """
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: later steps
-    start from the files, so a lost executor costs no recomputation of what
-    led to them."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from lodestone.llm import packing
@@ -10,11 +11,30 @@ from lodestone.llm import packing
 
 def test_ids_equal_the_tokenizers_library(spark, sf):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    plain, mine = Tokenizer.from_file(path), packing.encoder(path)
+    plain = Tokenizer.from_file(path)
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
     texts += ["", " ", "\n\n  x\t\t", "a<|endoftext|>b", "<|endoftext|>", "日本語 ñandú 🙂‍", "don't I'LL we've", "x" * 5_000, "1234567890 " * 50]
     for t in texts:
-        assert mine.encode(t, allowed_special="all") == plain.encode(t, add_special_tokens=False).ids
+        assert packing.ids_of(t, path) == plain.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "\u00a0", "a", "7", "!", " a", "\n \t", "<|endoftext|>", "x      "])
+def test_two_million_characters_of_a_kind(unit):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = (unit * 2_000_000)[:2_000_000]
+    assert packing.ids_of(text, path) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_long_white_space_repeated_rows_and_null_ids_are_packed(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(1, " " * 1_500_000), (None, "no id"), (None, "no id")] + [(7, "copy of a row")] * 500
+    got = packing.pack_documents(spark.createDataFrame([(i, t, 3, 0.5) for i, t in rows], "doc_id long, text string, salt int, offset double")).collect()
+    assert sum(r.length for r in got) == sum(len(packing.ids_of(t, path)) + 1 for _, t in rows)
+    assert sum(r.doc_id == 7 for r in got) == 500 and sum(r.doc_id is None for r in got) == 2
+    spans = {}
+    for r in got:
+        spans.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sorted(s)[-1][0] + sorted(s)[-1][1] == sum(n for _, n in s) <= 2048 and len({o for o, _ in s}) == len(s) for s in spans.values())
 
 
 def test_cut():

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import written
+from lodestone.llm.common import fresh_name, written
 from lodestone.llm.graphs import components
 
 TILE = 65536
@@ -175,34 +175,41 @@ def links_between(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.
     return _forest(np.concatenate([none, *left]), np.concatenate([none, *right]), n)
 
 
-def fingerprint_links(prints: DataFrame, radius: int = 4, width: int = 1, tile: int = TILE) -> DataFrame:
+def fingerprint_links(prints: DataFrame, radius: int = 4, width: int = 1, tile: int = TILE, part: Column | None = None, reach: int | None = None) -> DataFrame:
     """Links (a, b) of nodes with the components of all pairs of the distinct
-    fingerprints (fp, node, ones) that differ in radius bits at most."""
+    fingerprints (fp, node, ones) that differ in radius bits at most.
+
+    Tiles are of a part, and only tiles whose parts differ by reach at most
+    meet. Parts are steps of the population count, and reach is what the radius
+    allows, unless given. A tile leaves Python once; Spark copies its row to the
+    tile pairs, so that no task holds more than the two tiles of a pair."""
     step = max(1, radius // 4)  # population counts that share a tile
-    # a row for each step that occurs, 64 * width + 1 at most
-    sizes = {r[0]: r[1] for r in prints.groupBy(F.floor(F.col("ones") / step).alias("p")).count().collect()}
-    splits = [-(-sizes.get(p, 0) // tile) for p in range(64 * width // step + 1)]
-    reach = -(-radius // step)
-    p = F.floor(F.col("ones") / step).cast("int")
-    of = F.element_at(F.array(*[F.lit(max(1, s)) for s in splits]), p + 1)
-    dealt = prints.select("fp", "node", p.alias("p"), F.pmod(F.xxhash64("fp"), of).cast("int").alias("s"))
+    part, reach = (F.floor(F.col("ones") / step), -(-radius // step)) if part is None else (part, reach)
+    # a row for each part that occurs: population counts, or size bands, of which a few hundred exist
+    sizes = {r[0]: -(-r[1] // tile) for r in prints.groupBy(part.cast("int").alias("p")).count().collect()}
+    of = F.array(*[F.lit(sizes.get(p, 0)) for p in range(max(sizes, default=0) + 1)])
+    splits = lambda p: F.greatest(F.element_at(of, p + 1), F.lit(1))
+    dealt = prints.select("fp", "node", part.cast("int").alias("p")).withColumn("s", F.pmod(F.xxhash64("fp"), splits(F.col("p"))).cast("int"))
 
     def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        own, pdf = tuple(map(int, key)), pdf.sort_values("node")
-        data, nodes = b"".join(pdf["fp"]), pdf["node"].to_numpy(np.int64).tobytes()
-        others = [(p, s) for p in range(max(0, own[0] - reach), min(len(splits) - 1, own[0] + reach) + 1) for s in range(splits[p])]
-        return pd.DataFrame([(*min(own, o), *max(own, o), own > o, data, nodes) for o in others], columns=["p1", "s1", "p2", "s2", "second", "data", "nodes"])
+        pdf = pdf.sort_values("node")
+        return pd.DataFrame([{"p": key[0], "s": key[1], "data": b"".join(pdf["fp"]), "nodes": pdf["node"].to_numpy(np.int64).tobytes()}])
 
-    tiles = dealt.groupBy("p", "s").applyInPandas(pack, "p1 int, s1 int, p2 int, s2 int, second boolean, data binary, nodes binary")
+    tiles = dealt.groupBy("p", "s").applyInPandas(pack, "p int, s int, data binary, nodes binary")
+    near = F.sequence(F.greatest(F.col("p") - reach, F.lit(0)), F.least(F.col("p") + reach, F.lit(max(sizes, default=0))))
+    meet = tiles.withColumn("q", F.explode(F.filter(near, lambda q: F.element_at(of, q + 1) > 0)))
+    meet = meet.withColumn("t", F.explode(F.sequence(F.lit(0), splits(F.col("q")) - 1)))
+    own, other = F.struct(F.col("p"), F.col("s")), F.struct(F.col("q").alias("p"), F.col("t").alias("s"))
+    meet = meet.select(F.least(own, other).alias("first"), F.greatest(own, other).alias("second"), (own > other).alias("later"), "data", "nodes")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("second")
+        pdf = pdf.sort_values("later")
         x = [np.frombuffer(d, ">u8").astype(np.uint64).reshape(-1, width) for d in pdf["data"]]
         nodes = np.frombuffer(b"".join(pdf["nodes"]), np.int64)
         a, b = links_between(x[0], x[1] if len(x) > 1 else None, radius)
         return pd.DataFrame({"a": nodes[a], "b": nodes[b]})
 
-    return tiles.groupBy("p1", "s1", "p2", "s2").applyInPandas(compare, "a bigint, b bigint")
+    return meet.groupBy("first", "second").applyInPandas(compare, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 4, radius: int = 4, width: int = 1) -> DataFrame:
@@ -244,22 +251,52 @@ def set_print(found: np.ndarray, width: int) -> bytes:
 
 
 def set_columns(text: Column, size: int, width: int, whole: bool) -> Column:
-    """struct of fp, node and ones as in fingerprint, from distinct shingles;
-    the node stands for the set. whole: also the set, as packed numbers."""
+    """struct of fp, node and ones as in fingerprint, from distinct shingles,
+    and n, their number; the node stands for the set. whole: also the set, as
+    packed numbers."""
 
-    @F.pandas_udf("fp binary, node bigint, ones int" + ", hashes binary" * whole)
+    @F.pandas_udf("fp binary, node bigint, ones int, n bigint" + ", hashes binary" * whole)
     def columns(texts: pd.Series) -> pd.DataFrame:
-        found = [shingle_set(t, size) for t in texts.fillna("")]
-        fp = [set_print(x, width) for x in found]
-        node = [int.from_bytes(xxhash.xxh64_digest(x.tobytes()), "big", signed=True) for x in found]
-        out = {"fp": fp, "node": node, "ones": [int.from_bytes(x, "big").bit_count() for x in fp]}
-        if whole:
-            out["hashes"] = [x.tobytes() for x in found]
-        return pd.DataFrame(out)
+        out = []
+        for t in texts.fillna(""):  # one set at a time, so that a batch holds little
+            found = shingle_set(t, size)
+            fp, data = set_print(found, width), found.tobytes()
+            out.append((fp, int.from_bytes(xxhash.xxh64_digest(data), "big", signed=True), int.from_bytes(fp, "big").bit_count(), len(found), data)[: 4 + whole])
+        return pd.DataFrame(out, columns=["fp", "node", "ones", "n", "hashes"][: 4 + whole])
 
     return columns(text.cast("string"))
 
 
+def node_column(text: Column, size: int) -> Column:
+    """The node of set_columns alone."""
+
+    @F.pandas_udf("bigint")
+    def nodes(texts: pd.Series) -> pd.Series:
+        return pd.Series([int.from_bytes(xxhash.xxh64_digest(shingle_set(t, size).tobytes()), "big", signed=True) for t in texts.fillna("")], dtype="int64")
+
+    return nodes(text.cast("string"))
+
+
+#: Bits of the filter below: rows of 64 bits, so 2 ** 19 rows at most.
+SIEVE = 1 << 25
+
+
+def sieve(ids: DataFrame, docs: DataFrame, id: str, flag: str) -> DataFrame:
+    """docs with flag: false for rows whose id is surely not among ids (a
+    single column). ids are hashed to a set of SIEVE bits, a table of SIEVE / 64
+    rows at most, however many ids there are; so it can be sent to all tasks,
+    and only flagged rows need to move for an exact answer."""
+    word, bits = fresh_name(docs, "sieve_word"), fresh_name(docs, "sieve_bits")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
+    within = lambda c: F.pmod(place(c), F.lit(64)).cast("int")
+    own = ids[ids.columns[0]]
+    table = ids.select(F.shiftright(place(own), 6).alias(word), F.call_function("shiftleft", F.lit(1).cast("bigint"), within(own)).alias(bits))
+    table = table.groupBy(word).agg(F.bit_or(bits).alias(bits))
+    joined = docs.join(F.broadcast(table), F.shiftright(place(docs[id]), 6) == F.col(word), "left")
+    hit = F.getbit(F.col(bits), within(docs[id])) == 1
+    return joined.withColumn(flag, F.coalesce(hit, F.lit(False))).drop(word, bits)
+
+
 def confirmed(prints: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float, part: np.ndarray | None = None) -> tuple[list[int], list[int]]:
     """A spanning forest of the pairs of sets whose Jaccard similarity is
     similarity or more, among those whose prints (rows of unsigned 64-bit
@@ -296,15 +333,21 @@ def confirmed(prints: np.ndarray, sets: list[np.ndarray], radius: int, similarit
 def confirmed_links(docs: DataFrame, classes: DataFrame, id: str, text: str, size: int, similarity: float, width: int, radius: int, part_bytes: int = PART) -> DataFrame:
     """Links (a, b) of nodes with the components of all confirmed pairs.
 
-    The tiles propose components. The sets of a proposed component meet in one
-    task, many small components in a task; a component of more than part_bytes
-    is dealt into parts by hash, of which every two meet.
+    The tiles propose components; sets of a size ratio below the similarity
+    cannot be similar, so tiles are of bands of sizes, and only neighbours meet.
+    The sets of a proposed component meet in one task, many small components in
+    a task; a component of more than part_bytes is dealt into parts by hash, of
+    which every two meet. Only texts of proposed ids are read again, where they
+    lie, and only their sets move.
     """
-    roots = components(fingerprint_links(classes, radius, width), "proposed")
-    ids = classes.join(roots, "node", "left_semi").select(F.col("least").alias("member_id")).distinct()
-    members = docs.join(ids, docs[id].eqNullSafe(ids["member_id"]), "left_semi").select(set_columns(F.col(text), size, width, True).alias("set"))
+    # 0.999: a hair narrower, so that rounding parts no pair
+    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / float(-np.log(similarity * 0.999)))
+    roots = components(fingerprint_links(classes, radius, width, part=band, reach=1), "proposed")
+    flag = fresh_name(docs, "proposed")
+    ids = classes.join(roots, "node", "left_semi").select(F.col("least").alias("id"))
+    members = sieve(ids, docs, id, flag).filter(flag).select(set_columns(F.col(text), size, width, True).alias("set"))
     # written first: a filter on the node would be pushed below the function
-    members = written(members.select("set.fp", "set.node", "set.hashes"), "members").dropDuplicates(["node"]).join(roots, "node")
+    members = written(members.select("set.fp", "set.node", "set.hashes"), "members").join(roots, "node").dropDuplicates(["node"])
     members = written(members, "members")
     whole = members.agg(F.sum(F.octet_length("hashes").cast("long"))).first()[0] or 0
     parts = members.groupBy("root").agg(F.ceil(F.sum(F.octet_length("hashes").cast("long") + 64) / part_bytes).cast("int").alias("parts"))
@@ -330,8 +373,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, id: str, text: str, siz
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, width: int = 4, slack: int = 34, part_bytes: int = PART) -> DataFrame:
-    """One row of each group of near-duplicates: that with the smallest id; of
-    rows with that id and equal texts one stays.
+    """One row of each group of near-duplicates: one with the smallest id.
 
     Texts are linked where the Jaccard similarity of their distinct shingles
     is similarity or more, and groups are what links connect. Fingerprints only
@@ -339,14 +381,30 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int
     more bits. Of all pairs of sets at 0.8 those of four and five shingles
     differ most, in 48 bits and a standard deviation of 6; the radius of 73 is
     four of these more, and six for long texts.
+
+    Most rows are the only one of their id and stay; they pass where they lie.
+    Only rows that may have to go are moved, to the rows that stay.
+
+    A null id is the smallest; of rows with equal ids in a group one stays.
     """
     prints = docs.select(F.col(id).alias("id"), set_columns(F.col(text), size, width, False).alias("print"))
-    prints = written(prints.select("id", "print.fp", "print.node", "print.ones"), "prints")
-    classes = prints.groupBy("node").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.min("ones").alias("ones"))
+    prints = written(prints.select("id", "print.fp", "print.node", "print.ones", "print.n"), "prints")
+    rows = written(prints.groupBy("id", "node").agg(F.count("*").alias("copies"), F.min("fp").alias("fp"), F.min("ones").alias("ones"), F.min("n").alias("n")), "rows")
+    classes = rows.groupBy("node").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.min("ones").alias("ones"), F.min("n").alias("n"))
     links = confirmed_links(docs, classes, id, text, size, similarity, width, radius_for(similarity, width) + slack, part_bytes)
-    named = classes.join(components(links), "node", "left").select("least", F.coalesce("root", "node").alias("root"))
-    found = named.groupBy("root").agg(F.min("least").alias("kept_id")).select("kept_id").distinct()
-    return docs.join(found, docs[id].eqNullSafe(found["kept_id"]), "left_semi").dropDuplicates([id, text])
+    named = rows.select("id", "node", "copies").join(components(links), "node", "left").select("id", "node", "copies", F.coalesce("root", "node").alias("root"))
+    named = written(named, "named")
+    kept = named.groupBy("root").agg(F.min(F.struct("id", "node")).alias("kept"))
+    kept = kept.select(F.col("kept.id").alias("kept_id"), F.col("kept.node").alias("kept_node"))
+    # rows that go, and such as repeat
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("node") == F.col("kept_node"))
+    unsure = named.join(kept.withColumn("stays", F.lit(True)), same, "left").filter("stays is null or copies > 1").select("id")
+    flag, node = fresh_name(docs, "unsure"), fresh_name(docs, "node")
+    dealt = sieve(unsure, docs, id, flag)
+    sure = dealt.filter(~F.col(flag)).drop(flag)
+    open = written(dealt.filter(flag).drop(flag).withColumn(node, node_column(F.col(text), size)), "unsure")
+    open = open.join(kept, open[id].eqNullSafe(F.col("kept_id")) & (open[node] == F.col("kept_node")), "left_semi").dropDuplicates([id, node]).drop(node)
+    return sure.unionByName(open)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -80,6 +80,24 @@ def test_wide_prints(spark):
     assert sorted(r.doc_id for r in kept) == [5, 7, 11]
 
 
+def test_rows_that_share_an_id(spark):
+    text = " ".join(f"q{k}" for k in range(40))
+    rows = [(1, text, "a"), (1, "something else of five words", "b"), (3, text, "c"), (3, "yet another text of more words", "d"), (None, text + " end", "e"), (None, "a text without an id here", "f"), (None, "a text without an id here", "g")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, node string"))
+    assert kept.columns == ["doc_id", "text", "node"]
+    found = sorted(r.node for r in kept.collect())
+    assert found in (["b", "d", "e", "f"], ["b", "d", "e", "g"])
+    assert simhash.keep_one(kept.limit(0)).count() == 0
+
+
+def test_sieve_flags_all_that_is_listed(spark):
+    ids = spark.range(0, 5000, 7).toDF("id")
+    docs = spark.range(5000).toDF("doc_id")
+    got = {r.doc_id: r.hit for r in simhash.sieve(ids, docs, "doc_id", "hit").collect()}
+    assert len(got) == 5000 and all(got[i] for i in range(0, 5000, 7)) and sum(got.values()) < 800
+    assert not any(r.hit for r in simhash.sieve(ids.limit(0), docs, "doc_id", "hit").collect())
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 90)] + [(3, 3), (200, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -46,3 +46,12 @@ def test_rules_decide(spark):
 
 def test_rules_name_known_metrics(spark):
     assert {r.name for r in RULES} >= {"few_words", "symbols", "no_stop_words", "duplicate_lines"}
+
+
+def test_a_filter_stays_above_the_steps(spark, sf):
+    judged = judge(spark.read.parquet(f"{sf}/documents.parquet"))
+    kept = judged.filter("kept and n_words > 30")
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Filter") < plan.index("Project")
+    want = sorted(r.doc_id for r in judged.collect() if r.kept and r.n_words > 30)
+    assert sorted(r.doc_id for r in kept.collect()) == want

@@ -20,11 +20,13 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +37,8 @@ from lodestone.llm.common import fresh_name, written
 CAPACITY = 2048
 END = 0
 SEED = 5
+#: Texts that are encoded before their pieces are passed on.
+AT_ONCE = 128
 #: Pieces of a length that are numbered in one group, on average at most.
 BUCKET = 20_000
 
@@ -77,29 +81,29 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, capacity) for s in range(first, n, capacity)]
 
 
-PIECE = "piece:int,start:bigint,length:bigint,ids_crc32:bigint"
-
-
 def pieces(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str | None = None, ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32) and, if wanted, the ids of each
     piece of each document."""
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-
-    @F.pandas_udf(f"array<struct<{PIECE}{',ids:array<int>' * ids}>>")
-    def tokenize(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts.fillna(""):
-            found = np.array(ids_of(t, path) + [END], "<u4")
-            rows = []
-            for k, (start, length) in enumerate(cut(len(found), capacity)):
-                part = found[start : start + length]
-                row = {"piece": k, "start": start, "length": length, "ids_crc32": zlib.crc32(part.tobytes())}
-                rows.append(row | {"ids": part.astype(np.int32)} if ids else row)
-            out.append(rows)
-        return pd.Series(out)
-
-    df = docs.select(F.col(id).alias(id), F.explode(tokenize(F.col(text).cast("string"))).alias("p"))
-    return df.select(id, "p.*")
+    kind = docs.schema[id].dataType.simpleString()
+    rows = docs.select(F.col(id).alias(id), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+
+    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, AT_ONCE):
+                part, out, whole = batch.slice(k, AT_ONCE), [], []
+                for i, t in enumerate(part.column(1).to_pylist()):
+                    found = np.array(ids_of(t, path) + [END], "<u4")
+                    out += [(i, n, start, length, zlib.crc32(found[start : start + length].tobytes())) for n, (start, length) in enumerate(cut(len(found), capacity))]
+                    whole.append(found)
+                at, *columns = np.array(out, np.int64).T
+                arrays = [part.column(0).take(pa.array(at)), pa.array(columns[0].astype(np.int32)), *map(pa.array, columns[1:])]
+                if ids:  # pieces lie one after another, as the texts do
+                    ends = np.append(0, np.cumsum(columns[2])).astype(np.int32)
+                    arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(whole).astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(arrays, names=[id, "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
+
+    return rows.mapInArrow(tokenize, f"`{id}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * ids)
 
 
 def _fullest(room: int, have: list[tuple[int, int]]) -> list[tuple[int, int]]:

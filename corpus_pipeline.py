@@ -10,38 +10,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import mixing, packing, pii, quality, simhash
-from lodestone.llm.common import written
+from lodestone.llm.common import fresh_name, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that every quality rule accepts.
-
-    The verdicts are written before they are filtered: a filter would be pushed
-    below the projection's steps, and each step inlined as often as it is used."""
-    judged = quality.judge(docs.select(F.struct(*docs.columns).alias("row"), "text")).select("row", "kept")
-    return written(judged, "judged").filter("kept").select("row.*")
+    """Documents that every quality rule accepts. A null or empty text is
+    rejected; repeated rows are judged alike; other columns pass through."""
+    judged = quality.judge(docs.select(F.struct(*docs.columns).alias("row"), "text"))
+    return judged.filter("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, a
-    similarity of 0.8 or more."""
+    similarity of 0.8 or more. A null text counts as empty, and all texts
+    without words are one group; of repeated rows one stays."""
     return simhash.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
-    clean = pii.detect(docs, spans="found_spans", redact=True)
-    return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    """Documents with personal data replaced by its kind; n_chars, where there
+    is such a column, follows the text. A null text stays null; repeated rows
+    are treated alike."""
+    clean = pii.detect(docs, spans=fresh_name(docs, "spans"), redact=True)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast("bigint"))
+    return clean.select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents chosen to the target weights; a row for each epoch."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Documents chosen to the target weights; a row for each epoch. A null
+    language or source counts as "other"; a null or empty text has no tokens;
+    repeated rows are taken each."""
+    row = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "lang", "source")
+    return mixing.mix(row).select("row.*")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
-    return packing.pack_documents(docs)
+    """The pieces of all documents with their token ids and places in
+    sequences. A null text is its end token alone; repeated rows are packed
+    each; other columns are left out."""
+    return packing.pack_documents(docs, ids=True)
 
 
 STAGES = [
@@ -52,8 +60,8 @@ STAGES = [
     ("sequences", sequences),
 ]
 
-#: SQL has no tokenizer and no minimum bin slack; the tests compare each stage
-#: with a plain version.
+#: SQL has no tokenizer and no minimum bin slack; the tests compare the stages
+#: with plain versions.
 ORACLE_SQL = None
 
 

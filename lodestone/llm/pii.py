@@ -10,14 +10,15 @@ phone_local) only at a score of THRESHOLD or more.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows get
 equal results; an empty table gives an empty table; extra columns pass through,
-and an input column with the name of an output column is replaced. Every
-pattern runs in time linear in the text, so long texts are searched whole.
+and an input column with the name of an output column is replaced. Patterns run
+in time linear in the text, and overlaps are looked up in order, so long texts
+are searched whole.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -141,6 +142,23 @@ def _locals(text: str):
         yield m.span()
 
 
+def _joined(found: list[tuple]) -> tuple[list[int], list[int]]:
+    """Starts and ends of spans, overlapping ones joined, in order."""
+    starts, ends = [], []
+    for _, a, b in sorted(found, key=lambda s: s[1]):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _is_free(taken: tuple[list[int], list[int]], a: int, b: int) -> bool:
+    k = bisect_left(taken[0], b) - 1  # the last that starts before the end
+    return k < 0 or taken[1][k] <= a
+
+
 def _score(text: str, kind: str, start: int, end: int) -> float:
     near = {w.lower() for w in _WORD.findall(text[max(0, start - NEAR) : start] + " " + text[end : end + NEAR])}
     score = SCORES[kind] + 0.25 * any(w in near for w in CONTEXT[kind]) - 0.25 * any(w in near for w in AGAINST)
@@ -155,10 +173,9 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
             if kind == "phone" and "+" not in text:
                 continue
             found += [(kind, *s) for s in search(text)]
-        taken = [s[1:] for s in found]
         for kind, search in (("iban", _ibans), ("phone_local", _locals)):
-            # a further span must not overlap a base one
-            found += [(kind, a, b) for a, b in search(text) if all(b <= x or y <= a for x, y in taken)]
+            taken = _joined(found)  # a further span must not overlap one found before
+            found += [(kind, a, b) for a, b in search(text) if _is_free(taken, a, b)]
     scored = [(k, a, b, _score(text, k, a, b)) for k, a, b in found]
     return [s for s in scored if s[0] in BASE_KINDS or s[3] >= THRESHOLD]
 

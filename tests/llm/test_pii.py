@@ -66,3 +66,25 @@ def test_query(spark, name):
         spans = brute(texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
         assert r.n_email == sum(s[0] == "email" for s in spans)
+
+
+def test_a_dense_text_takes_time_by_its_length():
+    import time
+
+    one = "tel 555-123-4567 or a.b@site.org, "
+    spans = {}
+    for n in (2_000, 16_000):
+        began = time.process_time()
+        spans[n] = pii.find_spans(one * n), time.process_time() - began
+    assert len(spans[16_000][0]) == 8 * len(spans[2_000][0]) == 32_000
+    assert spans[16_000][1] < 25 * spans[2_000][1]
+
+
+def test_further_spans_overlap_none():
+    iban = "DE89370400440532013000"
+    found = pii.find_spans(f"IBAN {iban} tel 555-123-4567 mail 555-123-4567@x.org")
+    further = [s for s in found if s[0] not in pii.BASE_KINDS]
+    assert [s[0] for s in further] == ["iban", "phone_local"]
+    for i, s in enumerate(found):
+        for o in found[i + 1 :]:
+            assert s[0] in pii.BASE_KINDS and o[0] in pii.BASE_KINDS or s[2] <= o[1] or o[2] <= s[1]

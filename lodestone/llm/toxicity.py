@@ -8,7 +8,10 @@ and how voters correlate given the class; correlated voters share their weight.
 A logistic regression on the terms is then fitted to the model's posterior
 labels, and scores every whole text where it is read.
 
-SAMPLE bounds the rows that anything is fitted on, TERMS the terms that the
+The lexicons' terms are mined with the sampled labels, so the supervision is
+weak in what it takes from a text, not free of labels.
+
+SAMPLE bounds the documents that anything is fitted on, TERMS the terms that the
 score knows; both are documented parameters. Scoring is one pass without a
 shuffle. Labels of rows whose crc32(doc_id as text) is divisible by FOLDS are
 never read, and no column but the text enters a score.
@@ -190,8 +193,9 @@ class Toxicity:
     def __init__(self, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS, folds: int = FOLDS):
         marked = labels.filter(~held_out(F.col("doc_id"), folds)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)")
         few = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "id")
-        # `sample` rows of two numbers: a bounded table
-        rows = docs.join(F.broadcast(few), docs["doc_id"] == few["id"]).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "toxic")
+        # `sample` rows of two numbers: a bounded table; an id that many rows have gives one text
+        rows = docs.join(F.broadcast(few), docs["doc_id"] == few["id"]).select("id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "toxic")
+        rows = rows.groupBy("id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
         rows = written(rows, "sample")
         mined = mine_terms(rows, terms)
         voters = Voters(mined)

@@ -47,3 +47,11 @@ def test_label_model_finds_good_and_correlated_voters():
     model = toxicity.LabelModel(votes)
     assert np.mean((model.labels > 0.5) == y) > 0.97
     assert model.weight[4] < 0.5 < model.weight[0] and model.correlation[4, 5] > 0.9
+
+
+def test_the_sample_is_bounded_in_documents(spark):
+    docs = spark.createDataFrame([(1, f"copy {i} of an id") for i in range(300)] + [(i, f"text {i}") for i in range(2, 40)] + [(None, "no id"), (50, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (*range(1, 40), 50)] * 2, "doc_id long, toxic int")
+    model = toxicity.Toxicity(docs, labels, sample=10)
+    assert len(model.label_model.labels) <= 10
+    assert model.score(docs).filter("score between 0 and 1").count() == 340

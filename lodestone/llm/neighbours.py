@@ -3,8 +3,15 @@
 A vector has one long hash string of random-hyperplane bits in each tree. A
 tree is the sorted array of these strings. A query descends in every tree to
 the longest prefix that it shares with some string, then all trees ascend
-together, one bit at a time, taking in all rows that share the shorter prefix,
-until enough candidates are met; these are ranked by exact distance.
+together, one bit at a time, and rank by exact distance the rows that the
+shorter prefix takes in.
+
+The ascent ends where a row as near as the k-th one found so far would be in
+reach of no tree with a probability of MISS at most. A row at the angle a has a
+prefix of d bits in common with the query with the probability (1 - a / pi) ** d
+in each tree, and the widest angle at a distance follows from the norms of the
+query and of the shard. So near neighbours end it early, and vectors without
+structure, or of very unequal norms, late or at the root, where it is exact.
 
 The index is a table: rows are dealt by hash into shards of SHARD vectors, and
 each shard is one row that holds the sorted arrays of its trees. A block of
@@ -12,10 +19,6 @@ queries searches every shard, and its best rows of each shard meet in a
 window. A vector that very many rows share is kept with its k + 1 smallest ids,
 which are all that a result can name, so no shard grows with it.
 
-Enough candidates means SHARE of a shard's rows, counted over all trees; with
-vectors that have no structure at all, as random ones, that much is needed for
-a recall of 0.9.
-
 Defined cases: vectors that are null, zero or hold a null or non-finite
 component take no part; vectors of different lengths are never compared; rows
 with the query's own id are left out, and a row repeated in id and vector counts
@@ -33,11 +36,12 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import written
 
-TREES, BITS = 64, 32
+TREES, BITS = 64, 64
 SHARD = 8192
 #: Queries that search a shard in one group.
 BLOCK = 1024
-SHARE = 0.6
+#: How likely the ascent may leave out a row as near as the k-th found.
+MISS = 0.05
 SEED = 11
 
 
@@ -45,10 +49,10 @@ def hash_strings(vectors: np.ndarray, trees: int = TREES, seed: int = SEED) -> n
     """BITS hyperplane bits of each vector in each tree, the first bit highest."""
     planes = np.random.default_rng((seed, vectors.shape[1])).standard_normal((trees * BITS, vectors.shape[1]))
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    out = np.empty((trees, len(vectors)), np.uint32)
+    out = np.empty((trees, len(vectors)), np.uint64)
     for t in range(trees):
         bits = unit @ planes[t * BITS : (t + 1) * BITS].T > 0
-        out[t] = np.packbits(bits, axis=1).view(">u4").ravel()
+        out[t] = np.packbits(bits, axis=1).view(">u8").ravel()
     return out
 
 
@@ -57,6 +61,7 @@ class Forest:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, order: np.ndarray, strings: np.ndarray):
         self.ids, self.vectors, self.order, self.strings = ids, vectors, order, strings
+        self.norms = np.linalg.norm(vectors, axis=1)
 
     @classmethod
     def build(cls, ids: np.ndarray, vectors: np.ndarray, trees: int = TREES) -> Forest:
@@ -71,7 +76,7 @@ class Forest:
     def unpack(cls, row) -> Forest:
         ids = np.frombuffer(row["ids"], np.int64)
         shaped = lambda x, kind: np.frombuffer(x, kind).reshape(-1, len(ids))
-        return cls(ids, np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1), shaped(row["orders"], np.uint32), shaped(row["strings"], np.uint32))
+        return cls(ids, np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1), shaped(row["orders"], np.uint32), shaped(row["strings"], np.uint64))
 
     def longest(self, queries: np.ndarray) -> np.ndarray:
         """For each query the longest prefix that it shares with a string of
@@ -81,49 +86,66 @@ class Forest:
             at = np.searchsorted(sorted_strings, q)
             for near in (np.maximum(at - 1, 0), np.minimum(at, len(sorted_strings) - 1)):
                 unlike = sorted_strings[near] ^ q
-                # the place of the highest set bit, exact in double precision
-                best = np.maximum(best, BITS - np.frexp(unlike.astype(np.float64))[1])
+                # the place of the highest set bit, half by half: exact in double precision
+                high, low = (np.frexp(half.astype(np.float64))[1] for half in (unlike >> np.uint64(32), unlike & np.uint64(0xFFFFFFFF)))
+                best = np.maximum(best, BITS - np.where(high > 0, high + 32, low))
         return best
 
     def ranges(self, queries: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Per tree and query the bounds of the rows that share a prefix of
         the depth."""
-        low = queries.astype(np.uint64) >> np.uint64(BITS - depth) << np.uint64(BITS - depth)
-        high = low + (np.uint64(1) << np.uint64(BITS - depth))
-        lo = np.stack([np.searchsorted(s, x) for s, x in zip(self.strings, low)])
-        hi = np.stack([np.searchsorted(s, x) for s, x in zip(self.strings.astype(np.uint64), high)])
+        if depth == 0:
+            return np.zeros(queries.shape, np.int64), np.full(queries.shape, len(self.ids))
+        rest = np.uint64((1 << (BITS - depth)) - 1)
+        lo = np.stack([np.searchsorted(s, x) for s, x in zip(self.strings, queries & ~rest)])
+        hi = np.stack([np.searchsorted(s, x, "right") for s, x in zip(self.strings, queries | rest)])
         return lo, hi
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, share: float):
-        """(query_id, vec_id, distance) of the k nearest candidates of each."""
-        strings = hash_strings(queries, len(self.strings))
-        wanted = max(4 * k * len(self.strings), share * len(self.ids))
-        start, waiting, found = self.longest(strings), np.arange(len(queries)), {}
+    def missed(self, norm: float, far: float, depth: int) -> float:
+        """The probability that no tree reaches, at the depth, a row that is
+        this far from a query of this norm, at the widest angle that it can have."""
+        # at a distance the angle is widest for this norm of the row
+        other = np.clip(np.sqrt(max(norm**2 - far**2, 0.0)), self.norms.min(), self.norms.max())
+        angle = np.arccos(np.clip((norm**2 + other**2 - far**2) / (2 * norm * other), -1, 1))
+        return (1 - (1 - angle / np.pi) ** depth) ** len(self.strings)
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, miss: float = MISS) -> tuple[list[tuple], int]:
+        """(query_id, vec_id, distance) of the k nearest candidates of each, and
+        the number of rows ranked for all of them."""
+        strings, norms = hash_strings(queries, len(self.strings)), np.linalg.norm(queries, axis=1)
+        start, waiting = self.longest(strings), np.arange(len(queries))
+        seen = self.ids == query_ids[:, None]
+        found = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        flat, first = self.order.ravel(), np.arange(len(self.order)) * len(self.ids)
+        ranked = 0
         for depth in range(int(start.max(initial=0)), -1, -1):
             mine = waiting[start[waiting] >= depth]
             if not len(mine):
                 continue
             lo, hi = self.ranges(strings[:, mine], depth)
-            enough = ((hi - lo).sum(axis=0) >= wanted) | (depth == 0)
-            for j in np.flatnonzero(enough):
-                found[mine[j]] = lo[:, j], hi[:, j]
-            waiting = np.setdiff1d(waiting, mine[enough])
+            many = ((hi - lo).sum(axis=0) >= 2 * k) | (depth == 0)
+            done = []
+            for i, a, b in zip(mine[many], lo.T[many], hi.T[many]):
+                # the places first + a .. first + b of all trees, one after another
+                ends = np.cumsum(b - a)
+                met = np.zeros(len(self.ids), bool)
+                met[flat[np.repeat(first + b - ends, b - a) + np.arange(ends[-1])]] = True
+                new = np.flatnonzero(met & ~seen[i])
+                seen[i, new] = True
+                ranked += len(new)
+                at = np.concatenate([found[i][0], new])
+                far = np.concatenate([found[i][1], np.sqrt(((self.vectors[new] - queries[i]) ** 2).sum(axis=1))])
+                best = np.arange(len(at))
+                if len(at) > k:  # all that are as near as the k-th, then ties by id
+                    best = np.flatnonzero(far <= np.partition(far, k - 1)[k - 1])
+                best = best[np.lexsort((self.ids[at[best]], far[best]))[:k]]
+                found[i] = at[best], far[best]
+                if depth == 0 or (len(best) == k and self.missed(norms[i], far[best[-1]], depth) <= miss):
+                    done.append(i)
+            waiting = np.setdiff1d(waiting, done)
             if not len(waiting):
                 break
-        out = []
-        for i, (lo, hi) in found.items():
-            rows = np.zeros(len(self.ids), bool)
-            for order, a, b in zip(self.order, lo, hi):
-                rows[order[a:b]] = True
-            rows &= self.ids != query_ids[i]
-            at = np.flatnonzero(rows)
-            far = np.sqrt(((self.vectors[at] - queries[i]) ** 2).sum(axis=1))
-            if len(at) > k:  # all that are as near as the k-th, then ties by id
-                near = far <= np.partition(far, k - 1)[k - 1]
-                at, far = at[near], far[near]
-            best = np.lexsort((self.ids[at], far))[:k]
-            out += [(query_ids[i], self.ids[at[b]], far[b]) for b in best]
-        return out
+        return [(query_ids[i], self.ids[a], f) for i, (at, far) in enumerate(found) for a, f in zip(at, far)], ranked
 
 
 def usable(vector: Column) -> Column:
@@ -152,7 +174,7 @@ def forest_index(vectors: DataFrame, k: int = 10, id: str = "vec_id", vector: st
     return dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, ids binary, vectors binary, orders binary, strings binary")
 
 
-def nearest(index: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", share: float = SHARE) -> DataFrame:
+def nearest(index: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id", vector: str = "embedding", miss: float = MISS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest candidates of each query
     by Euclidean distance, ties to the smaller id."""
     rows = queries.select(F.col(id).cast("bigint").alias("id"), F.transform(F.col(vector).cast("array<double>"), lambda x: x + F.lit(0.0)).alias("v"))
@@ -178,7 +200,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id
         got = []
         for row in pdf.to_dict("records"):
             ids = np.frombuffer(row["query_ids"], np.int64)
-            got += Forest.unpack(row).search(ids, np.frombuffer(row["queries"], np.float64).reshape(len(ids), -1), k, share)
+            got += Forest.unpack(row).search(ids, np.frombuffer(row["queries"], np.float64).reshape(len(ids), -1), k, miss)[0]
         return pd.DataFrame(got, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     found = meet.groupBy("dim", "shard", "block").applyInPandas(search, "query_id bigint, vec_id bigint, score double")

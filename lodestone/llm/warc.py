@@ -9,8 +9,16 @@ these identifiers into one nested row.
 A record ends with two line ends, which is the writer's line separator, so
 Spark's own committer writes the archives, in whatever store the folder is.
 Payloads move once, when a page is joined with the keeper of its digest; Spark
-splits that join where one payload has a third of all rows. A file holds
-PER_FILE records at most, and is read by one task.
+splits that join where one payload has a third of all rows. Pages are written
+in tiers of size, a job for each tier that occurs, with fewer pages to a file
+the larger they are: a file, which one task reads, holds FILE_BYTES before
+compression, or the records of a single larger page.
+
+The reader takes archives of other writers too (.warc and .warc.gz, with a gzip
+member for each record or for all). A record cut short, of no readable length,
+or behind damaged compression gives a row of what its fields tell, with intact
+false and no payload, and ends its archive. Payloads are bodies as they are
+stored: transfer encodings are not undone.
 
 Defined cases: a null payload counts as empty; a null url is left out of the
 record; a null page id counts as smallest. Rows repeated in id, url and payload
@@ -22,9 +30,9 @@ Extra columns are left out.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import io
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,7 +41,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import shared_path, written
 
-PER_FILE = 6000
+FILE_BYTES = 256 << 20
+#: Largest bytes of a page in each tier but the last, which has one page a file.
+TIERS = (128 << 10, 4 << 20)
 END = "\r\n"
 #: Rows and payload bytes that the reader passes on at once.
 BATCH, BATCH_BYTES = 2000, 8 << 20
@@ -73,7 +83,10 @@ def write_archives(pages: DataFrame, path: str, id: str = "page_id", url: str =
     # SHA-1 is of the bytes; the length keeps apart what only a forged digest could join
     rows = rows.withColumn("digest", base32_of_hex(F.sha1(F.col("html").cast("binary")))).withColumn("bytes", F.octet_length("html"))
     keepers = rows.filter(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.max(F.struct("id", "url")).alias("keeper"), F.count("*").alias("n"))
-    rows = rows.join(keepers.filter("n > 1").drop("n"), ["digest", "bytes"], "left")
+    weight = F.col("bytes") + 3 * F.coalesce(F.octet_length("url"), F.lit(0))  # three records name the url
+    tier = sum((weight > most).cast("int") for most in TIERS)
+    present = {r[0] for r in rows.select(tier.alias("tier")).distinct().collect()} or {0}
+    rows = rows.withColumn("tier", tier).join(keepers.filter("n > 1").drop("n"), ["digest", "bytes"], "left")
     revisit = F.col("keeper").isNotNull() & ~F.col("id").eqNullSafe(F.col("keeper.id"))
 
     def capture(i: str, u: str) -> Column:
@@ -105,25 +118,75 @@ def write_archives(pages: DataFrame, path: str, id: str = "page_id", url: str =
         [("WARC-Type", "metadata"), ("WARC-Record-ID", _urn("metadata", F.col("rid"))), *at, link, ("Content-Type", "application/warc-fields")],
         F.concat(F.lit("pageId: "), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(END)),
     )
-    records = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    records.write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
+    for n in sorted(present):
+        pages_a_file = FILE_BYTES // TIERS[n] if n < len(TIERS) else 1
+        records = rows.filter(F.col("tier") == n).select(F.explode(F.array(request, response, metadata)).alias("value"))
+        records.write.mode("errorifexists" if n == min(present) else "append").option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * pages_a_file).text(path)
 
 
 def parse(data: bytes) -> Iterator[dict]:
-    """The records of an archive, plain or gzipped, one after another. A record
-    cut short ends the archive."""
-    stream = io.BytesIO(data)
-    if data[:2] == b"\x1f\x8b":
-        stream = io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 20)
+    """The records of an archive, plain or gzipped, one after another, and
+    whether each is cut short, which ends the archive."""
+    raw = _Members(data) if data[:2] == b"\x1f\x8b" else None
+    stream = io.BufferedReader(raw, 1 << 16) if raw else io.BytesIO(data)
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue  # what separates records
         fields = _fields(iter(stream.readline, b""))
-        size = int(fields.get("content-length", 0))
-        block = stream.read(size)
-        if len(block) < size:
+        size = _number(fields.get("content-length"))
+        block = b"" if size is None else _read(stream, size)
+        cut = size is None or len(block) < size
+        yield {"fields": fields, "block": block, "cut": cut}
+        if cut:
             return
-        yield {"fields": fields, "block": block}
+    if raw and raw.damaged:
+        yield {"fields": {}, "block": b"", "cut": True}
+
+
+class _Members(io.RawIOBase):
+    """What the gzip members of an archive hold, as far as they are sound."""
+
+    STEP = 1 << 14
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.out, self.damaged = data, 0, b"", False
+        self.member = zlib.decompressobj(31)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while not self.out and not self.damaged:
+            if self.member.eof:  # padding may stand between members
+                while self.data[self.at : self.at + 1] == b"\0":
+                    self.at += 1
+                if self.at == len(self.data):
+                    return 0
+                self.member = zlib.decompressobj(31)
+            part = self.data[self.at : self.at + self.STEP]
+            try:
+                self.out = self.member.decompress(part, 1 << 20)
+            except zlib.error:
+                self.damaged = True
+            self.damaged |= not (part or self.out or self.member.eof)
+            self.at += len(part) - len(self.member.unused_data) - len(self.member.unconsumed_tail)
+        taken = min(len(into), len(self.out))
+        into[:taken], self.out = self.out[:taken], self.out[taken:]
+        return taken
+
+
+def _read(stream, size: int) -> bytes:
+    """As many bytes as there are up to size, which may be any told number."""
+    parts = []
+    while size and (part := stream.read(min(size, 1 << 20))):
+        parts.append(part)
+        size -= len(part)
+    return b"".join(parts)
+
+
+def _number(text: str | None) -> int | None:
+    """A count of at most 18 digits."""
+    return int(text) if text and text.isascii() and text.isdigit() and len(text) <= 18 else None
 
 
 def _fields(lines) -> dict[str, str]:
@@ -144,25 +207,29 @@ def _row(record: dict, payloads: bool) -> dict:
         "record_id": fields.get("warc-record-id"), "type": kind, "concurrent_to": fields.get("warc-concurrent-to"), "refers_to": fields.get("warc-refers-to"), "target_uri": fields.get("warc-target-uri"),
         "page_id": None, "payload_bytes": None, "payload_digest": None, "intact": None, "payload": None,
     }
+    if record["cut"]:
+        return row | {"intact": False}
     if kind == "metadata":
-        found = _fields(block.splitlines())
-        row["page_id"] = int(found["pageid"]) if found.get("pageid") else None
+        told = _fields(block.splitlines()).get("pageid", "")
+        number = _number(told.removeprefix("-"))
+        row["page_id"] = -number if number is not None and told.startswith("-") else number
     elif kind in ("response", "revisit"):
         head, _, body = block.partition(b"\r\n\r\n")
-        told = (fields.get("warc-payload-digest") or "").removeprefix("sha1:")
+        how, _, told = (fields.get("warc-payload-digest") or "").partition(":")
         if kind == "response":
             digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
-            row |= {"payload_bytes": len(body), "payload_digest": digest, "intact": digest == told, "payload": body if payloads else None}
+            row |= {"payload_bytes": len(body), "payload_digest": digest, "intact": digest == told.upper() if how.lower() == "sha1" else None, "payload": body if payloads else None}
         else:  # the payload is elsewhere; its digest and length are told
             http = _fields(head.split(b"\r\n")[1:])
-            row |= {"payload_bytes": int(http.get("content-length", 0)), "payload_digest": told}
+            row |= {"payload_bytes": _number(http.get("content-length")), "payload_digest": told or None}
     return row
 
 
 def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """A row for each record of the archives below path; intact tells whether a
-    response's payload has the digest that its record tells."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
+    response's payload has the SHA-1 that its record tells (null where it tells
+    none), and is false for records that are cut short."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{warc,warc.gz,txt,txt.gz}").load(path).select("content")
 
     def rows(batches):
         held, size = [], 0

@@ -105,7 +105,7 @@ def test_components_of_a_long_chain_and_a_star(spark):
 
 
 def five_words(text):
-    words = text.lower().split()
+    words = re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 

@@ -7,16 +7,21 @@ are used up does it reach the parent's siblings. Each leaf then takes whole
 epochs, and of one more epoch the prefix, in that epoch's seeded order, whose
 tokens fit what is left of its budget.
 
-Prefixes need no sorting of a leaf: the order's hash gives a bucket, tokens are
-summed by leaf and bucket, and only the rows of the one bucket in which a
-prefix ends are ordered. A source with a third of all rows is spread like any
-other. What comes to the driver is a few numbers a leaf; leaves are bounded by
-the given tree, as names that it lacks count as "other" at each level.
+Prefixes need no sorting of a leaf: the order's hash, of id and text, gives a
+bucket, tokens are summed by leaf and bucket, and only the rows of the one
+bucket in which a prefix ends are ordered. A source with a third of all rows is
+spread like any other, and so are rows of which all ids are null or one. Rows
+equal in id and text share a bucket; where a prefix ends among them, one task
+orders them, spilling to disk. What comes to the driver is a few numbers a leaf;
+leaves are bounded by the given tree, as names that it lacks count as "other" at
+each level.
 
 Defined cases: null domains, languages and sources count as "other"; a null or
 empty text has no tokens and goes with its leaf's order, once where the whole
-leaf has no tokens; repeated rows are taken each; an empty table or a budget of 0 gives no rows; extra columns pass
-through, and an input column with the name of an output column is replaced.
+leaf has no tokens; rows with a null id are ordered by their texts alone;
+repeated rows are taken each; an empty table or a budget of 0 gives no rows;
+extra columns pass through, and an input column with the name of an output
+column is replaced.
 """
 
 from __future__ import annotations
@@ -113,7 +118,8 @@ def mix(docs: DataFrame, tree=TREE, domain: Column | None = None, share: float =
     sources = {s for _, below in tree.values() for _, names in below.values() for s in names}
     at = fresh_name(docs, "leaf")
     leaf = F.struct(_level(domain, tree).alias("d"), _level(F.col("lang"), languages).alias("l"), _level(F.col("source"), sources).alias("s"))
-    slim = written(docs.select(F.col(id).alias("id"), leaf.alias("leaf"), _tokens(text).alias("n")), "mix")
+    digest = F.xxhash64(whole_text(text)).alias("h")
+    slim = written(docs.select(F.col(id).alias("id"), digest, leaf.alias("leaf"), _tokens(text).alias("n")), "mix")
 
     stats = {tuple(r["leaf"]): r["n"] for r in slim.groupBy("leaf").agg(F.sum("n").alias("n")).collect()}
     tokens = {leaf: n for leaf, n in stats.items() if n}
@@ -122,12 +128,10 @@ def mix(docs: DataFrame, tree=TREE, domain: Column | None = None, share: float =
     plan += [(leaf, 1, 0) for leaf in stats if leaf not in tokens and any(budgets.values())]  # costs nothing
     plan = spark.createDataFrame(plan, "leaf struct<d:string,l:string,s:string>, whole int, rest long")  # a row for each leaf of the tree at most
 
-    def order(key: Column) -> Column:
-        """Hexadecimal hash: the seeded order of the epoch after the whole ones."""
-        return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), key.cast("string")))
-
+    # hexadecimal hash: the seeded order of the epoch after the whole ones
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("whole", "id", "h")]))
     bucket = F.conv(F.substring("o", 1, 3), 16, 10).cast("int")
-    sums = slim.join(F.broadcast(plan), "leaf").withColumn("o", order(F.col("id"))).groupBy("leaf", "rest", bucket.alias("b")).agg(F.sum("n").alias("n"))
+    sums = slim.join(F.broadcast(plan), "leaf").withColumn("o", order).groupBy("leaf", "rest", bucket.alias("b")).agg(F.sum("n").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("leaf").orderBy("b"))
     # the first bucket in which the tokens exceed the rest, and the tokens before it
     ends = sums.withColumn("upto", upto).filter("upto > rest").groupBy("leaf").agg(F.min_by(F.struct("b", (F.col("upto") - F.col("n")).alias("before")), "b").alias("end"))
@@ -135,12 +139,12 @@ def mix(docs: DataFrame, tree=TREE, domain: Column | None = None, share: float =
     plan = plan.join(ends, "leaf", "left").select(F.struct("leaf.*", "whole", "rest", "end", "before").alias("p"))
 
     own = [c for c in docs.columns if c not in ("domain", "n_tokens", "epoch")]
-    df = docs.select(F.struct(*own).alias("row"), F.col(id).alias("id"), leaf.alias(at), _tokens(text).alias("n"))
+    df = docs.select(F.struct(*own).alias("row"), F.col(id).alias("id"), digest, leaf.alias(at), _tokens(text).alias("n"))
     df = df.join(F.broadcast(plan), (F.col(f"{at}.d") == F.col("p.d")) & (F.col(f"{at}.l") == F.col("p.l")) & (F.col(f"{at}.s") == F.col("p.s")))
-    df = df.select("*", "p.whole", "p.rest", "p.end", "p.before").withColumn("o", order(F.col("id"))).withColumn("b", bucket)
+    df = df.select("*", "p.whole", "p.rest", "p.end", "p.before").withColumn("o", order).withColumn("b", bucket)
     inside = F.col("b") < F.coalesce("end", F.lit(BUCKETS))
     sure = df.filter((F.col("b") != F.col("end")) | F.col("end").isNull()).withColumn("taken", F.col("whole") + (inside & (F.col("rest") > 0)).cast("int"))
-    run = F.sum("n").over(Window.partitionBy(at).orderBy("o", "id", "n").rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum("n").over(Window.partitionBy(at).orderBy("o", "id", "h").rowsBetween(Window.unboundedPreceding, 0))
     edge = df.filter(F.col("b") == F.col("end")).withColumn("taken", F.col("whole") + ((F.col("before") + run <= F.col("rest")) & (F.col("rest") > 0)).cast("int"))
     df = sure.unionByName(edge).filter("taken > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("taken") - 1)))
     return df.select("row.*", F.col(f"{at}.d").alias("domain"), F.col("n").alias("n_tokens"), "epoch")

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+import xxhash
 
 from lodestone.llm import mixing
 
@@ -31,8 +32,9 @@ def brute(rows, tree, share, epochs, seed):
     leaves = {}
     for i, text, lang, source in rows:
         leaf = (domain.get(source, "other"), lang if lang in langs else "other", source if source in sources else "other")
-        leaves.setdefault(leaf, []).append((i, len(re.findall(r"[^ \t-\r]+", text or ""))))
-    tokens = {leaf: n for leaf, ds in leaves.items() if (n := sum(n for _, n in ds))}
+        digest = (xxhash.xxh64_intdigest((text or "").encode(), 42) + 2**63) % 2**64 - 2**63
+        leaves.setdefault(leaf, []).append((i, len(re.findall(r"[^ \t-\r]+", text or "")), digest))
+    tokens = {leaf: n for leaf, ds in leaves.items() if (n := sum(d[1] for d in ds))}
     budgets = mixing.leaf_budgets(tree, tokens, int(sum(tokens.values()) * share), epochs)
     out = []
     for leaf, n in tokens.items():
@@ -41,28 +43,37 @@ def brute(rows, tree, share, epochs, seed):
             run = 0
             if left <= 0:
                 break
-            order = sorted(leaves[leaf], key=lambda d: (hashlib.md5(f"{seed}:{min(budgets[leaf] // n, epochs)}:{d[0]}".encode()).hexdigest(), d[0]))
+            key = lambda d: ":".join(str(x) for x in (seed, min(budgets[leaf] // n, epochs), d[0], d[2]) if x is not None)  # noqa: B023, E731
+            order = sorted(leaves[leaf], key=lambda d: hashlib.md5(key(d).encode()).hexdigest())
             if left >= n:
-                out += [(i, epoch) for i, _ in order]
+                out += [(i, epoch) for i, _, _ in order]
                 left -= n
                 continue
-            for i, m in order:
+            for i, m, _ in order:
                 run += m
                 if run > left:
                     break
                 out.append((i, epoch))
             break
-    return sorted(out)
+    return sorted(out, key=str)
 
 
 @pytest.mark.parametrize("share,epochs", [(0.8, 2), (0.1, 1), (3.0, 3)])
 def test_rows_equal_brute_force(spark, sf, share, epochs):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
     rows = [tuple(r) for r in docs.collect()]
-    got = sorted((r.doc_id, r.epoch) for r in mixing.mix(docs, share=share, epochs=epochs).collect())
+    got = sorted(((r.doc_id, r.epoch) for r in mixing.mix(docs, share=share, epochs=epochs).collect()), key=str)
     assert got == brute(rows, mixing.TREE, share, epochs, mixing.SEED)
 
 
+def test_rows_of_null_ids_are_spread(spark):
+    rows = [(None, f"text {i} of a row", "en", "src1") for i in range(600)] + [(i, "word " * (i + 1), "en", "src2") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = sorted(((r.doc_id, r.epoch) for r in mixing.mix(docs, share=0.5, epochs=1).collect()), key=str)
+    want = brute(rows, mixing.TREE, 0.5, 1, mixing.SEED)
+    assert got == want and 0 < sum(i is None for i, _ in want) < 600
+
+
 def test_odd_rows(spark):
     rows = [(1, "a b", None, None, "x"), (2, None, "en", "src1", "x"), (3, "c d e", "xx", "new", "x"), (None, "f", "en", "src1", "x"), (4, "g h", "en", "src1", "x"), (4, "g h", "en", "src1", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, leaf string")

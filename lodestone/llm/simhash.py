@@ -403,7 +403,7 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int
     dealt = sieve(unsure, docs, id, flag)
     sure = dealt.filter(~F.col(flag)).drop(flag)
     open = written(dealt.filter(flag).drop(flag).withColumn(node, node_column(F.col(text), size)), "unsure")
-    open = open.join(kept, open[id].eqNullSafe(F.col("kept_id")) & (open[node] == F.col("kept_node")), "left_semi").dropDuplicates([id, node]).drop(node)
+    open = open.join(kept, open[id].eqNullSafe(kept["kept_id"]) & (open[node] == kept["kept_node"]), "left_semi").dropDuplicates([id, node]).drop(node)
     return sure.unionByName(open)
 
 

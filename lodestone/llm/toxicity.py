@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import written
+from lodestone.llm.common import whole_text, written
 
 FOLDS = 5
 SAMPLE = 20_000
@@ -194,7 +194,8 @@ class Toxicity:
         marked = labels.filter(~held_out(F.col("doc_id"), folds)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)")
         few = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "id")
         # `sample` rows of two numbers: a bounded table; an id that many rows have gives one text
-        rows = docs.join(F.broadcast(few), docs["doc_id"] == few["id"]).select("id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "toxic")
+        texts = docs.select("doc_id", whole_text().alias("text"))
+        rows = texts.join(F.broadcast(few), F.col("doc_id") == F.col("id"))
         rows = rows.groupBy("id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
         rows = written(rows, "sample")
         mined = mine_terms(rows, terms)

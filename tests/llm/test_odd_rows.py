@@ -1,0 +1,110 @@
+"""All operators and stages on documents with nulls, empty and very long texts,
+repeated rows, and extra columns with the names that operators use inside."""
+
+from collections import Counter
+
+import corpus_pipeline
+import pytest
+
+from lodestone.llm import mixing, packing, pii, pitman_yor, quality, simhash, toxicity
+
+EXTRA = "row id node leaf leaf_ spans got domain epoch n h o p kept_id kept_node unsure proposed sieve_word copies salt score kept t w held key bucket".split()
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+LONG = " ".join(f"the w{i} of" for i in range(70_000))
+GOOD = "The house of the old man is on the hill and it was for us to see that in the sun of may until the river came down with stones, and nobody at all had a boat which could be used by them in time"
+MAIL = "Ask the keeper of the garden at keeper@garden.org and he is to say that it was on the way to us for all of them"
+NO_ID = "In the winter of that year it was for the first time that a ship with no name came to be in this port"
+ROWS = [
+    (1, LONG, "en", "src0"), (2, None, "en", "src1"), (3, "", None, None), (None, NO_ID, "de", None), (None, NO_ID, "de", None), (4, GOOD, "en", "src0"), (4, GOOD, "en", "src0"),
+    (4, GOOD, "en", "src0"), (5, GOOD + " again", "xx", "src0"), (6, MAIL, None, "src11"), (7, " \n\t ", "fr", "src2"), (8, "x" * 1_000_000, "es", "src16"), (9, None, None, None),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("odd") / "documents.parquet")
+    rows = [(*r, None if r[1] is None else len(r[1]), *EXTRA) for r in ROWS]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in EXTRA)
+    spark.createDataFrame(rows, schema).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def ids(rows):
+    return sorted((r.doc_id for r in rows), key=str)
+
+
+def untouched(rows, but=()):
+    return all(r[c] == c for r in rows for c in EXTRA if c not in but)
+
+
+ALL = sorted((r[0] for r in ROWS), key=str)
+
+
+def test_stages(spark, sf, docs):
+    now, kept = docs, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, sf)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        now = corpus_pipeline.written(out, "odd")
+        kept.append(now.collect())
+        assert untouched(kept[-1])
+    assert ids(kept[0]) == sorted([1, 4, 4, 4, 5, 6, None, None], key=str)
+    assert ids(kept[1]) == sorted([1, 4, 6, None], key=str)
+    assert {r.doc_id: r.text for r in kept[2]} == {1: LONG, 4: GOOD, 6: MAIL.replace("keeper@garden.org", "[EMAIL]"), None: NO_ID}
+    assert all(r.n_chars == len(r.text) for r in kept[2])
+    assert set(ids(kept[3])) <= {1, 4, 6, None}
+    packed = corpus_pipeline.sequences(spark, now, sf).collect()
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(ids(kept[3]))
+    for _, stage in corpus_pipeline.STAGES:  # on the raw rows, and on none
+        assert stage(spark, docs, sf).count() > 0 and stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_near_duplicates_of_raw_rows(docs):
+    """Texts without words are one group, of which the smallest id stays."""
+    kept = simhash.keep_one(docs).collect()
+    assert ids(kept) == sorted([1, 2, 4, 6, 8, None], key=str) and untouched(kept)
+
+
+def test_mixing(docs):
+    every = mixing.mix(docs, share=1e9, epochs=1).collect()
+    assert ids(every) == ALL and untouched(every, ["domain", "epoch"])
+    assert sum(r.n_tokens for r in every) == sum(len((t or "").split()) for _, t, _, _ in ROWS)
+
+
+def test_personal_data(docs):
+    got = pii.detect(docs).collect()
+    assert ids(got) == ALL and untouched(got, ["spans"])
+    assert [(r.doc_id, len(r.spans)) for r in got if r.spans] == [(6, 1)]
+
+
+def test_quality(docs):
+    got = quality.judge(docs).collect()
+    assert ids(got) == ALL and untouched(got, ["kept"])
+    assert {r.n_words for r in got if r.doc_id == 1} == {210_000} and not any(r.kept for r in got if r.doc_id in (2, 3, 7, 8, 9))
+
+
+def test_fingerprints(docs):
+    got = simhash.near_duplicates(docs).collect()
+    assert ids(got) == ALL
+    assert {r.component_id for r in got if r.doc_id in (2, 3, 7, 9)} == {2}
+    assert {r.fingerprint for r in got if r.doc_id in (2, 3, 7, 9)} == {"0" * 16}
+
+
+def test_packing(docs):
+    got = packing.pack_documents(docs).collect()
+    assert ids([r for r in got if r.piece == 0]) == ALL
+    assert all(r.length == 1 for r in got if r.doc_id in (2, 3, 9))
+
+
+def test_language_model(docs):
+    got = pitman_yor.score_texts(docs).collect()
+    assert ids(got) == ALL and all(r.score < 0 and r.n_tokens >= r.n_known for r in got)
+    assert len({r.score for r in got if r.doc_id == 4}) == 1 and {r.n_tokens for r in got if r.doc_id in (2, 3, 7, 9)} == {1}
+
+
+def test_toxicity(spark, docs):
+    labels = spark.createDataFrame([(r[0], 1, int(r[0] == 6), "x") for r in ROWS if r[0]] + [(None, None, None, None), (4, 0, 1, "x")], "doc_id long, quality int, toxic int, text string")
+    model = toxicity.Toxicity(docs, labels)
+    got = model.score(docs).collect()
+    assert ids(got) == ALL and all(0 <= r.score <= 1 for r in got) and untouched(got, ["score"])
+    assert len({r.score for r in got if r.doc_id in (2, 3, 7, 9)}) == 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import mixing, neighbours, packing, pii, pitman_yor, quality, sentence_pieces, simhash, toxicity, urls, warc
+from lodestone.llm import merkle, mixing, neighbours, packing, pii, pitman_yor, quality, sentence_pieces, simhash, toxicity, urls, warc
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op9_simhash": simhash.op9_simhash,
         "op10_toxicity": toxicity.op10_toxicity,
         "op12_sentence_pieces": sentence_pieces.op12_sentence_pieces,
+        "op13_merkle": merkle.op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality.oracle_op7()}
+    return {"op7_quality_rules": quality.oracle_op7(), "op13_merkle": merkle.oracle_op13()}

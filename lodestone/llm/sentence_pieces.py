@@ -24,6 +24,7 @@ error. Ids that are negative or beyond the vocabulary are an error in decoding.
 
 from __future__ import annotations
 
+import bisect
 import codecs
 import heapq
 import re
@@ -34,7 +35,7 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import fresh_name, whole_text
@@ -42,12 +43,12 @@ from lodestone.llm.common import fresh_name, whole_text
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Parts whose ids a worker keeps.
-KEPT = 1 << 18
+KEPT = 1 << 17
 #: From so many characters on, merges go by a heap; shorter parts are merged so
 #: many at a time.
 HEAP_FROM, SIDE_BY_SIDE = 40, 2048
-#: Texts that are encoded before their ids are passed on.
-AT_ONCE = 256
+#: Texts, and characters, that are encoded before their ids are passed on.
+AT_ONCE, CHARS = 256, 1 << 19
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 # each byte that starts no character gives one replacement mark
@@ -107,64 +108,93 @@ class CharacterMap:
 
 
 class _Merges:
-    """The pairs of symbols that merge, as sorted arrays, to merge many parts
-    side by side. Symbols are the pieces by id, then characters of pieces that
-    are no pieces themselves."""
+    """The pairs of symbols that merge, in a table by a hash of the pair, to
+    merge many parts side by side. Symbols are the pieces by id, then characters
+    of pieces that are no pieces themselves."""
 
     def __init__(self, ids: dict[str, int], cost: dict[str, float], size: int):
-        lone = sorted({c for p in ids for c in p} - ids.keys())
-        self.symbols = ids | {c: size + i for i, c in enumerate(lone)}
-        self.size, self.lone = size, lone
-        self._char = np.full(0x110000, -1, np.int32)
-        for c, i in self.symbols.items():
+        self.lone = sorted({c for p in ids for c in p} - ids.keys())
+        self.size = size
+        symbols = ids | {c: size + i for i, c in enumerate(self.lone)}
+        self._char = np.full(0x110000, -1, np.int64)
+        for c, i in symbols.items():
             if len(c) == 1:
                 self._char[ord(c)] = i
-        self._base = size + len(lone) + 1
-        found = [(self.symbols[p[:k]] * self._base + self.symbols[p[k:]], cost[p], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in self.symbols and p[k:] in self.symbols]
-        found.sort()
-        self._keys, self._cost, self._into = np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found]), np.array([f[2] for f in found], np.int64)
-
-    def _of(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cost and outcome of pairs; infinite where they do not merge."""
-        keys = left * self._base + right
-        at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
-        hit = (self._keys[at] == keys) & (left >= 0) & (right >= 0)
-        return np.where(hit, self._cost[at], np.inf), self._into[at]
-
-    def merge(self, parts: list[str]) -> list[list[int]]:
-        """The symbols of each part, all of whose characters are symbols: the
-        cheapest pair merges first, of equals the leftmost."""
+        ranks = {c: i for i, c in enumerate(sorted(set(cost.values())))}  # equal costs stay equal
+        self._never = len(ranks)
+        found = [(symbols[p[:k]] << 32 | symbols[p[k:]], ranks[cost[p]], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols]
+        keys, rank, into = (np.array(x, np.int64) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
+        self._shift = 63 - max(10, len(keys)).bit_length() - 2
+        self._keys = np.full(1 << (63 - self._shift), -1, np.int64)
+        self._rank, self._into = np.full(len(self._keys), self._never, np.int64), np.zeros(len(self._keys), np.int64)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):  # a taken slot sends a pair on to the next one
+            free = self._keys[at[left]] < 0
+            self._keys[at[left[free]]] = keys[left[free]]
+            mine = self._keys[at[left]] == keys[left]
+            self._rank[at[left[mine]]], self._into[at[left[mine]]] = rank[left[mine]], into[left[mine]]
+            left = left[~mine]
+            at[left] = (at[left] + 1) % len(self._keys)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.int64(0x1E3779B97F4A7C15) & np.int64(0x7FFFFFFFFFFFFFFF)) >> self._shift
+
+    def _find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The slots of pairs; that of a pair that does not merge is empty."""
+        keys = left << 32 | right
+        at = self._slot(keys)
+        got = self._keys[at]
+        wrong = np.flatnonzero((got != keys) & (got >= 0))
+        while len(wrong):
+            at.flat[wrong] = (at.flat[wrong] + 1) % len(self._keys)
+            got = self._keys[at.flat[wrong]]
+            wrong = wrong[(got != keys.flat[wrong]) & (got >= 0)]
+        return at
+
+    def merge(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of each part in a row, -1 behind its end, and whether
+        all of its characters are symbols, without which the row counts for
+        nothing. The cheapest pair merges first, of equals the leftmost."""
         n, length = len(parts), max(map(len, parts))
         sizes = np.fromiter(map(len, parts), np.int64, n)
         now = np.full((n, length), -1, np.int64)
         now[np.arange(length) < sizes[:, None]] = self._char[np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")]
-        if length == 1 or not len(self._keys):
-            return [row[:k] for row, k in zip(now.tolist(), sizes.tolist())]
-        cost, into = self._of(now[:, :-1], now[:, 1:])
-        places, done = np.arange(n), now.copy()
-        while len(places):
-            at = cost.argmin(axis=1)
-            rows = np.arange(len(places))
-            more = cost[rows, at] < np.inf
-            done[places[~more]] = now[~more]
-            places, now, cost, into, at = places[more], now[more], cost[more], into[more], at[more]
-            rows = np.arange(len(places))
-            made = into[rows, at]
+        good = (now >= 0).sum(axis=1) == sizes
+        if length == 1:
+            return now, good
+        slots = self._find(np.maximum(now[:, :-1], 0), np.maximum(now[:, 1:], 0))
+        rank = self._rank[slots]
+        rank[(now[:, 1:] < 0) | (now[:, :-1] < 0)] = self._never
+        places, done, tail = np.arange(n), now.copy(), np.arange(length)
+        while True:
+            at, rows = rank.argmin(axis=1), np.arange(len(places))
+            more = rank[rows, at] < self._never
+            if not more.all():
+                done[places[~more]] = now[~more]
+                places, now, rank, at = places[more], now[more], rank[more], at[more]
+                rows = np.arange(len(places))
+            if not len(places):
+                return done, good
+            made = self._into[self._find(now[rows, at], now[rows, at + 1])]
             # what stands right of the merged pair moves one place to the left
-            tail = np.arange(length)
-            now = np.take_along_axis(now, np.minimum(tail + (tail > at[:, None]), length - 1), axis=1)
+            shift = tail[1:] > at[:, None]
+            now[:, :-1] = np.where(shift[:, : length - 1], now[:, 1:], now[:, :-1])
             now[:, -1] = -1
             now[rows, at] = made
-            move = np.minimum(tail[:-1] + (tail[:-1] >= at[:, None]), length - 2)
-            cost, into = np.take_along_axis(cost, move, axis=1), np.take_along_axis(into, move, axis=1)
-            cost[:, -1] = np.inf
-            left = np.maximum(at - 1, 0)
-            c, i = self._of(np.where(at > 0, now[rows, left], -1), made)
-            cost[rows[at > 0], left[at > 0]], into[rows[at > 0], left[at > 0]] = c[at > 0], i[at > 0]
-            inner = at < length - 1
-            c, i = self._of(made, now[rows, np.minimum(at + 1, length - 1)])
-            cost[rows[inner], at[inner]], into[rows[inner], at[inner]] = c[inner], i[inner]
-        return [row[: row.index(-1)] if row[-1] < 0 else row for row in done.tolist()]
+            rank[:, :-1] = np.where(shift[:, : length - 2] | (tail[: length - 2] == at[:, None]), rank[:, 1:], rank[:, :-1])
+            rank[:, -1] = self._never
+            for first in (at - 1, at):
+                own = np.flatnonzero((first >= 0) & (first < length - 1))
+                a, b = now[own, first[own]], now[own, first[own] + 1]
+                rank[own, first[own]] = np.where(b < 0, self._never, self._rank[self._find(a, np.maximum(b, 0))])
+
+
+def _put(buffer: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """values from a place on; the buffer grows by doubling."""
+    if at + len(values) > len(buffer):
+        buffer = np.concatenate([buffer, np.zeros(at + len(values), buffer.dtype)])
+    buffer[at : at + len(values)] = values
+    return buffer
 
 
 class Pieces:
@@ -199,8 +229,9 @@ class Pieces:
         inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self._cut = re.compile(r"(?s).+" if inner else f"{SPACE}*[{re.escape(joined)}]+|{SPACE}+|[^{SPACE}{re.escape(joined)}]+")
         self._merges = _Merges(self.ids, self.cost, len(text))
-        self._known = frozenset(c for c in self._merges.symbols if len(c) == 1)
-        self._parts: dict[str, tuple[int, ...]] = {}
+        # parts by number; the ids of a number are a stretch of the pool
+        self._number: dict[str, int] = {}
+        self._pool, self._starts = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
 
     # normalisation
 
@@ -245,26 +276,38 @@ class Pieces:
     # encoding
 
     def _learn(self, parts: set[str]) -> None:
-        """Puts the ids of all these parts into the table."""
-        if len(self._parts) + len(parts) > KEPT:
-            self._parts.clear()
-        new = sorted(parts - self._parts.keys(), key=len)
-        short = [p for p in new if len(p) < HEAP_FROM and self._known.issuperset(p)]
-        size = self._merges.size
-        for k in range(0, len(short), SIDE_BY_SIDE):
-            some = short[k : k + SIDE_BY_SIDE]
-            for part, symbols in zip(some, self._merges.merge(some)):
-                self._parts[part] = tuple(symbols) if max(symbols) < size else self._ids_of([self._merges.lone[s - size] if s >= size else s for s in symbols])
-        for part in set(new).difference(short):
-            self._parts[part] = self._ids_of(self._merged_by_heap(part))
-
-    def _ids_of(self, symbols: list) -> tuple[int, ...]:
+        """Puts the ids of all these parts into the pool."""
+        if len(self._number) + len(parts) > KEPT:
+            self._number.clear()
+        new, many = sorted(parts.difference(self._number), key=len), len(self._number)
+        if not new:
+            return
+        short = bisect.bisect_left(new, HEAP_FROM, key=len)
+        slow, ids, sizes, named = new[short:], [], [], []
+        for k in range(0, short, SIDE_BY_SIDE):
+            some = new[k : min(k + SIDE_BY_SIDE, short)]
+            rows, good = self._merges.merge(some)
+            good &= (rows < self._merges.size).all(axis=1)
+            slow += [some[i] for i in np.flatnonzero(~good)]
+            named += some if good.all() else [some[i] for i in np.flatnonzero(good)]
+            used = rows[good] >= 0
+            ids.append(rows[good][used])
+            sizes.append(used.sum(axis=1))
+        for part in slow:
+            ids.append(np.array(self._ids_of(self._merged_by_heap(part)), np.int64))
+        sizes.append(np.array([len(x) for x in ids[len(ids) - len(slow) :]], np.int64))
+        self._number.update(zip(named + slow, range(many, many + len(new))))
+        used = int(self._starts[many])
+        self._pool = _put(self._pool, used, np.concatenate(ids))
+        self._starts = _put(self._starts, many + 1, used + np.cumsum(np.concatenate(sizes)))
+
+    def _ids_of(self, symbols: list[str]) -> list[int]:
         """Ids of symbols; the bytes of those that are no pieces."""
         out: list[int] = []
         for s in symbols:
-            found = self.ids.get(s) if isinstance(s, str) else s
+            found = self.ids.get(s)
             out += [found] if found is not None else [self.byte_ids[b] for b in s.encode()]
-        return tuple(out)
+        return out
 
     def _merged_by_heap(self, part: str) -> list[str]:
         symbols, cost = list(part), self.cost
@@ -299,12 +342,18 @@ class Pieces:
     def encode_all(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         made = [self.normalise(t) for t in texts]
         cut = [self._cut.findall(m) for m, _ in made]
-        self._learn(set(chain.from_iterable(cut)))
+        parts = list(chain.from_iterable(cut))
+        self._learn(set(parts))
+        number = np.fromiter(map(self._number.__getitem__, parts), np.int64, len(parts))
+        sizes = self._starts[number + 1] - self._starts[number]
+        behind = np.append(0, np.cumsum(sizes))
+        every = self._pool[np.repeat(self._starts[number] - behind[:-1], sizes) + np.arange(behind[-1])]
+        borders = behind[np.cumsum([0, *map(len, cut)])]
         out = []
-        for parts, (_, aligned) in zip(cut, made):
-            ids = np.fromiter(chain.from_iterable(map(self._parts.__getitem__, parts)), np.int64)
-            ends = aligned[np.cumsum(self.width[ids])]
+        for a, b, (_, aligned) in zip(borders, borders[1:], made):
+            ids = every[a:b]
             first, last = aligned[:1], aligned[-1:]
+            ends = aligned[np.cumsum(self.width[ids])]
             starts = np.concatenate([first, ends[:-1]]) if len(ids) else ends
             out.append((np.concatenate([[self.begin], ids, [self.end]]), np.concatenate([first, starts, last]), np.concatenate([first, ends, last])))
         return out
@@ -340,14 +389,15 @@ def pieces(path: str) -> Pieces:
         return Pieces(file.read())
 
 
-def encode_texts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", model: str | None = None, packed: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", model: str | None = None, packed: bool = False, decode: bool = False) -> DataFrame:
     """(keep..., ids, starts, ends) of each row: arrays of int, or packed as
-    little-endian 32-bit numbers. starts and ends are bytes of the source."""
+    little-endian 32-bit numbers. starts and ends are bytes of the source.
+    decode adds `decoded`, the text that the ids stand for."""
     path = model or public_tokenizers.path(MODEL)
     # a name of its own for the text, which may be among the kept columns
     source = fresh_name(docs, "source_text")
     rows = docs.select(*keep, whole_text(text).alias(source))
-    kind = "binary" if packed else "array<int>"
+    kind, names = "binary" if packed else "array<int>", [*keep, "ids", "starts", "ends", *["decoded"] * decode]
 
     def column(parts: list[np.ndarray]) -> pa.Array:
         if packed:
@@ -358,17 +408,24 @@ def encode_texts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces(path)
         for batch in batches:
-            for k in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(k, AT_ONCE)
-                made = known.encode_all(part.column(len(keep)).to_pylist())
-                arrays = [*part.columns[: len(keep)], *(column([m[i] for m in made]) for i in range(3))]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "ids", "starts", "ends"])
+            texts, k = batch.column(len(keep)), 0
+            while k < batch.num_rows:
+                n, chars = 0, 0
+                while k + n < batch.num_rows and n < AT_ONCE and chars < CHARS:
+                    chars += len(texts[k + n].as_buffer())
+                    n += 1
+                made = known.encode_all(texts.slice(k, n).to_pylist())
+                arrays = [*batch.slice(k, n).columns[: len(keep)], *(column([m[i] for m in made]) for i in range(3))]
+                if decode:
+                    arrays.append(pa.array([known.decode(m[0]) for m in made], pa.string()))
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                k += n
 
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(encode, f"{kept}, ids {kind}, starts {kind}, ends {kind}")
+    return rows.mapInArrow(encode, f"{kept}, ids {kind}, starts {kind}, ends {kind}" + ", decoded string" * decode)
 
 
-def decode_texts(ids, model: str | None = None):
+def decode_texts(ids: Column, model: str | None = None) -> Column:
     """The decoded text of a column of packed ids."""
     path = model or public_tokenizers.path(MODEL)
 
@@ -383,11 +440,11 @@ def decode_texts(ids, model: str | None = None):
 def op12_sentence_pieces(spark, sf_dir: str) -> DataFrame:
     """The ids and spans of every text, and the text that the ids decode to."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    made = encode_texts(docs, packed=True)
+    made = encode_texts(docs, packed=True, decode=True)
     return made.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(decode_texts(F.col("ids")).cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
         F.sha2(F.concat("starts", "ends"), 256).alias("spans_sha256"),
     )

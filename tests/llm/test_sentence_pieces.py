@@ -10,7 +10,7 @@ import sentencepiece
 from sentencepiece import sentencepiece_model_pb2
 
 from lodestone.llm import sentence_pieces
-from lodestone.llm.sentence_pieces import MODEL, CharacterMap, Pieces, encode_texts, op12_sentence_pieces, pieces
+from lodestone.llm.sentence_pieces import MODEL, CharacterMap, Pieces, decode_texts, encode_texts, op12_sentence_pieces, pieces
 
 PATH = public_tokenizers.path(MODEL)
 
@@ -103,6 +103,8 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id or 0, len(r.ids)) for r in got) == [(0, 3), (1, 2), (2, 2), (3, 6), (3, 6), (4, 100_003)]
     assert all(r.source_text == "c" and len(r.ids) == len(r.starts) == len(r.ends) for r in got)
     assert encode_texts(df.limit(0)).count() == 0
+    packed = encode_texts(df, packed=True, decode=True)
+    assert all(r.decoded == r.again for r in packed.select("decoded", decode_texts(packed.ids).alias("again")).collect())
     assert encode_texts(df, keep=("text", "doc_id")).filter("doc_id = 2").first().text == ""
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import merkle, mixing, neighbours, packing, pii, pitman_yor, quality, sentence_pieces, simhash, toxicity, urls, warc
+from lodestone.llm import merkle, mixing, neighbours, packing, pii, pitman_yor, quality, sentence_pieces, simhash, toxicity, urls, warc, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_url_filter": urls.op8_url_filter,
         "op9_simhash": simhash.op9_simhash,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_whitening": whitening.op11_whitening,
         "op12_sentence_pieces": sentence_pieces.op12_sentence_pieces,
         "op13_merkle": merkle.op13_merkle,
     }

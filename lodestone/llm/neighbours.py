@@ -40,6 +40,8 @@ TREES, BITS = 64, 64
 SHARD = 8192
 #: Queries that search a shard in one group.
 BLOCK = 1024
+#: Blocks of queries that meet a shard in one group.
+MEET = 64
 #: How likely the ascent may leave out a row as near as the k-th found.
 MISS = 0.05
 SEED = 11
@@ -188,22 +190,26 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 10, id: str = "vec_id
         return pd.DataFrame([{"dim": key[0], "block": key[1], "query_ids": pdf["id"].to_numpy(np.int64).tobytes(), "queries": v.tobytes()}])
 
     bundles = rows.groupBy("dim", "block").applyInPandas(bundle, "dim int, block int, query_ids binary, queries binary")
-    # blocks of the stated query set meet every shard: a block is smaller than a
-    # shard, so blocks are copied and each shard moves once, to where its groups are
+    # blocks of the stated query set meet every shard: they are copied, and a
+    # shard goes once to each group of MEET blocks
     last = {r[0]: r[1] for r in index.groupBy("dim").agg(F.max("shard")).collect()}
     of = F.lit(None).cast("int")
     for dim, shard in last.items():
         of = F.when(F.col("dim") == dim, shard).otherwise(of)
-    meet = bundles.withColumn("shard", F.explode(F.sequence(F.lit(0), of))).join(index, ["dim", "shard"])
+    shards = index.withColumn("meet", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // MEET))))
+    asked = bundles.withColumn("meet", F.expr(f"block div {MEET}").cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), of)))
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+    def search(shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         got = []
-        for row in pdf.to_dict("records"):
-            ids = np.frombuffer(row["query_ids"], np.int64)
-            got += Forest.unpack(row).search(ids, np.frombuffer(row["queries"], np.float64).reshape(len(ids), -1), k, miss)[0]
+        if len(shard) and len(asked):
+            forest = Forest.unpack(shard.iloc[0])
+            for own, data in zip(asked["query_ids"], asked["queries"]):
+                ids = np.frombuffer(own, np.int64)
+                got += forest.search(ids, np.frombuffer(data, np.float64).reshape(len(ids), -1), k, miss)[0]
         return pd.DataFrame(got, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    found = meet.groupBy("dim", "shard", "block").applyInPandas(search, "query_id bigint, vec_id bigint, score double")
+    keys = ["dim", "shard", "meet"]
+    found = shards.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

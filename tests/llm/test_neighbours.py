@@ -100,3 +100,20 @@ def test_recall_of_the_query(spark, tmp_path):
     assert hits >= 0.9 * len(got)
     true = {(q, i): far for q, near in want.items() for i, far in near}
     assert all(abs(r.score - true[r.query_id, r.vec_id]) < 1e-9 for r in got if (r.query_id, r.vec_id) in true)
+
+
+def test_a_shard_goes_once_to_a_group_of_query_blocks(spark, monkeypatch):
+    """No join repeats the packed shards for each block of queries."""
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    monkeypatch.setattr(neighbours, "MEET", 3)
+    draw = np.random.default_rng(8)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(draw.standard_normal((150, 8)))], "vec_id long, embedding array<double>")
+    index = neighbours.written(neighbours.forest_index(vectors, shard=40), "index")
+    found = neighbours.nearest(index, vectors, k=3, miss=0.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "Join" not in plan
+    base = {r.vec_id: np.array(r.embedding) for r in vectors.collect()}
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: sorted((i for i in base if i != q), key=lambda i: (np.linalg.norm(base[i] - v), i))[:3] for q, v in base.items()}

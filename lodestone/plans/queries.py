@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import ENTITIES, HIDDEN, TITLE, tokens
-from lodestone.operators import answers, ranking, terms
+from lodestone.operators import answers, feedback, inverted, ranking, terms
+from lodestone.operators.inverted import InvertedIndex
 from lodestone.operators.terms import Index
 from lodestone.plans.graph import END, StageGraph
 from lodestone.settings import Settings
@@ -132,9 +133,64 @@ def graph_run(spark, d):
     return graph.compile()(table(spark, d, "conversations")).select("conv_id", "turn", "node", "best_doc")
 
 
+def _inverted(spark, d) -> InvertedIndex:
+    return InvertedIndex.build(_docs(spark, d))
+
+
+def _some_words(spark, d, places) -> DataFrame:
+    """Questions of the words at these places of each benchmark text."""
+    words = tokens(F.col("text"))
+    picked = F.array_compact(F.array(*[F.get(words, F.lit(p)) for p in places]))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(picked, " ").alias("input"))
+
+
+def phrase_search(spark, d):
+    """Where the first three words of each benchmark text follow one another."""
+    return inverted.phrases(_inverted(spark, d), _some_words(spark, d, (0, 1, 2)))
+
+
+def proximity_search(spark, d):
+    """Where three words of each benchmark text are near one another."""
+    return inverted.proximity(_inverted(spark, d), _some_words(spark, d, (0, 2, 4)), S.window)
+
+
+def bm25_pruned(spark, d):
+    return inverted.bm25_pruned(_inverted(spark, d), _questions(spark, d), S.k, S.k1, S.b)
+
+
+def rm3_topk(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return feedback.rm3(_inverted(spark, d), docs, _questions(spark, d), S.k, S.feedback, S.expansion, S.own, S.k1, S.b)
+
+
+def _asked_turns(spark, d) -> DataFrame:
+    turns = table(spark, d, "conversations").filter("role = 'user'")
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("input"))
+
+
+def corrective_loop(spark, d):
+    """User turns through retrieve, grade and rewrite until each has ended."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return feedback.corrected(_inverted(spark, d), docs, _asked_turns(spark, d), S.enough, S.retrievals)
+
+
+def near_spellings(spark, d):
+    """Words of the conversations that no document holds, and what may be meant."""
+    words = table(spark, d, "conversations").select(F.explode(tokens(F.col("text"))).alias("word"))
+    return feedback.near_spellings(terms.term_stats(_docs(spark, d)), words, S.edits, S.spellings)
+
+
+def merged_passages(spark, d):
+    """The ten best passages of each question, joined where they overlap."""
+    docs = _docs(spark, d)
+    hits = answers.best_passages(docs, _questions(spark, d), S.k, S.chunk, S.stride)
+    return feedback.merged_spans(hits, docs, S.chunk, S.stride)
+
+
 _QUERIES = [
     tokenize_docs, term_stats, chunk_docs, bm25_topk, tfidf_cosine_topk, dense_knn, rrf_fusion, mmr_rerank, grade_filter, dedup_exact,
     context_pack, chat_history, route_turn, build_prompt, extractive_answer, qrels, retrieval_eval, html_to_text, graph_run,
+    phrase_search, proximity_search, bm25_pruned, rm3_topk, corrective_loop, near_spellings, merged_passages,
 ]
 
 
@@ -180,6 +236,21 @@ _CHUNKS = f"""
 ct AS (SELECT doc_id, {_TOK.format("text")} AS w FROM documents),
 ci AS (SELECT doc_id, w, unnest(range(0, greatest(0, ceil((len(w) - 64) / 48.0))::BIGINT + 1)) AS chunk_ix FROM ct WHERE len(w) > 0),
 chunks AS (SELECT doc_id, chunk_ix, array_to_string(w[chunk_ix * 48 + 1:chunk_ix * 48 + 64], ' ') AS chunk FROM ci)"""
+_WORDS = "{}(qid, p) AS (SELECT item_id, list_filter([{}], lambda x: x IS NOT NULL) FROM (SELECT item_id, {} AS w FROM benchmark))"
+_PHRASES = _WORDS.format("p", "w[1], w[2], w[3]", _TOK.format("text"))
+_NEAR = _WORDS.format("p", "w[1], w[3], w[5]", _TOK.format("text"))
+_POSITIONS = f"""
+t AS (SELECT doc_id, {_TOK.format("text")} AS w FROM documents),
+pos AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS p FROM t)"""
+# the second pass over the terms of the first one's hits
+_RM3 = f"""
+own AS (SELECT qid, term, 0.5::DOUBLE * count(*) / (sum(count(*)) OVER (PARTITION BY qid)) AS weight FROM (SELECT qid, unnest({_TOK.format("input")}) AS term FROM q) GROUP BY qid, term),
+sh AS (SELECT qid, doc_id, score / (sum(score) OVER (PARTITION BY qid)) AS share FROM hits),
+rm AS (SELECT qid, term, round(sum(share * tf / dl), 10) AS p FROM sh JOIN tf USING (doc_id) GROUP BY qid, term),
+rb AS (SELECT * FROM rm QUALIFY row_number() OVER (PARTITION BY qid ORDER BY p DESC, term) <= 10),
+ew AS (SELECT qid, term, sum(weight) AS weight FROM (SELECT * FROM own UNION ALL SELECT qid, term, 0.5::DOUBLE * p / (sum(p) OVER (PARTITION BY qid)) FROM rb) GROUP BY qid, term),
+es AS (SELECT qid, doc_id, round(sum(weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+       FROM tf JOIN df USING (term) JOIN ew USING (term), whole GROUP BY qid, doc_id)"""
 _QRELS = "rel AS (SELECT item_id AS qid, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))"
 _NODE = "CASE WHEN role = 'system' THEN 'configure' WHEN role = 'assistant' THEN 'archive' WHEN length(text) > 400 THEN 'summarize' ELSE 'retrieve' END"
 def _duck_decoded(text: str) -> str:
@@ -223,6 +294,27 @@ SELECT qid, 'Context:' || chr(10) || coalesce(context, '') || chr(10) || chr(10)
 WITH {_Q}, {_CHUNKS}, keyed AS (SELECT printf('%015d', doc_id) || '/' || printf('%09d', chunk_ix) AS key, chunk AS text FROM chunks),
 {_bm25("keyed", "q", 1, "key")}
 SELECT qid, split_part(key, '/', 1)::BIGINT AS doc_id, split_part(key, '/', 2)::BIGINT AS chunk_ix, text AS answer FROM hits JOIN keyed USING (key)""",
+        "phrase_search": f"""
+WITH {_PHRASES}, t AS (SELECT doc_id, {_TOK.format("text")} AS w FROM documents),
+h AS (SELECT qid, doc_id, list_filter(range(len(w) - len(p) + 1), lambda i: w[i + 1:i + len(p)] = p) AS h FROM t JOIN p ON len(p) > 0 AND list_has_all(w, p))
+SELECT qid, doc_id, len(h)::BIGINT AS hits, h[1] AS first FROM h WHERE len(h) > 0""",
+        "proximity_search": f"""
+WITH {_NEAR}, {_POSITIONS},
+qt AS (SELECT DISTINCT qid, unnest(p) AS term FROM p),
+s AS (SELECT q.qid, a.doc_id, a.p, o.term, min(b.p) AS nearest FROM qt q JOIN pos a ON a.term = q.term JOIN qt o ON o.qid = q.qid
+      JOIN pos b ON b.doc_id = a.doc_id AND b.term = o.term AND b.p BETWEEN a.p AND a.p + 7 GROUP BY ALL),
+e AS (SELECT qid, doc_id, p, max(nearest) - p + 1 AS span FROM s GROUP BY qid, doc_id, p HAVING count(*) = (SELECT count(*) FROM qt WHERE qt.qid = s.qid))
+SELECT qid, doc_id, span, p AS first FROM e WHERE span <= 8 QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY span, p) = 1""",
+        "bm25_pruned": f"WITH {_BM25} SELECT * FROM hits",
+        "rm3_topk": f"WITH {_BM25}, {_RM3} SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rk FROM es QUALIFY rk <= 10",
+        "merged_passages": f"""
+WITH {_Q}, {_CHUNKS}, keyed AS (SELECT printf('%015d', doc_id) || '/' || printf('%09d', chunk_ix) AS key, chunk AS text FROM chunks),
+{_bm25("keyed", "q", 10, "key")},
+ch AS (SELECT qid, score, split_part(key, '/', 1)::BIGINT AS doc_id, split_part(key, '/', 2)::BIGINT AS ix FROM hits),
+mk AS (SELECT *, CASE WHEN ix * 48 <= lag(ix) OVER w * 48 + 64 THEN 0 ELSE 1 END AS b FROM ch WINDOW w AS (PARTITION BY qid, doc_id ORDER BY ix)),
+il AS (SELECT *, sum(b) OVER (PARTITION BY qid, doc_id ORDER BY ix ROWS UNBOUNDED PRECEDING) AS island FROM mk),
+sp AS (SELECT qid, doc_id, min(ix) * 48 AS start, max(ix) * 48 + 64 AS stop, max(score) AS score, count(*) AS passages FROM il GROUP BY qid, doc_id, island)
+SELECT qid, doc_id, start, least(stop, len(w)) AS stop, score, passages, array_to_string(w[start + 1:least(stop, len(w))], ' ') AS span FROM sp JOIN ct USING (doc_id)""",
         "qrels": f"WITH {_QRELS} SELECT * FROM rel",
         "retrieval_eval": f"""
 WITH {_BM25}, {_QRELS},

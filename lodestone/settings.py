@@ -12,7 +12,11 @@ class Settings:
     trade: relevance against likeness in re-ranking; budget: tokens of a packed
     context; chunk and stride: tokens of a passage and from one to the next;
     neighbours: of a vector; long_turn: characters from which a turn is
-    summarized first."""
+    summarized first; window: tokens among which words count as near; feedback,
+    expansion and own: hits and terms of a relevance model, and the question's
+    share in it; enough and retrievals: the share of a question's words that an
+    answer holds, and retrievals until it is given up; edits and spellings: of
+    a word that no document holds."""
 
     k: int = 10
     k1: float = 1.2
@@ -25,6 +29,14 @@ class Settings:
     stride: int = 48
     neighbours: int = 5
     long_turn: int = 400
+    window: int = 8
+    feedback: int = 10
+    expansion: int = 10
+    own: float = 0.5
+    enough: float = 0.6
+    retrievals: int = 3
+    edits: int = 1
+    spellings: int = 3
 
     @classmethod
     def load(cls, path: str) -> Settings:

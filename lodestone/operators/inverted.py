@@ -167,10 +167,11 @@ class InvertedIndex:
         few = wanted.limit(SMALL + 1).count() <= SMALL
         return self.blocks.filter(F.col("bucket").isin(here)).join(F.broadcast(wanted) if few else wanted, ["bucket", "term"], "left_semi")
 
-    def by_shelf(self, asked: DataFrame, found: DataFrame, columns: list[str], work: Callable[[pa.Table, pa.Table], list[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
+    def by_shelf(self, asked: DataFrame, queries: int, found: DataFrame, columns: list[str], work: Callable[[pa.Table, pa.Table], list[tuple]], schema: pa.Schema, ddl: str) -> DataFrame:
         """The rows work(blocks, headers) of each shelf. asked: (term, qid,
-        others), of which those of one term travel with a block as `asks`."""
-        many = -(-asked.select("qid").distinct().count() // ASKED) or 1
+        others) of so many queries; those of one term travel with a block as
+        `asks`."""
+        many = -(-queries // ASKED) or 1
         others = [c for c in asked.columns if c not in ("term",)]
         lists = asked.groupBy("term", F.pmod(F.xxhash64("qid"), F.lit(many)).alias("share")).agg(F.collect_list(F.struct(*others)).alias("asks"))
         of = F.expr(f"shiftright(range, 32) * 4294967296 + (range & 4294967295) div {SHELF}")
@@ -198,6 +199,27 @@ def _rows(table: pa.Table, columns: tuple[str, ...]) -> Iterator[dict]:
         yield {c: v[i] for c, v in plain.items()} | {c: a[i].values.to_numpy() for c, a in arrays.items()}
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[tuple[np.ndarray, np.ndarray], float]:
+    """The k best ids, and those that rounding to six digits may put among them;
+    of equal scores only the k smallest ids. Also the k-th best score."""
+    order = np.lexsort((-scores, ids))
+    ids, scores = ids[order], scores[order]
+    first = np.append(True, ids[1:] != ids[:-1])
+    ids, scores = ids[first], scores[first]
+    if len(ids) < k:
+        return (ids, scores), -np.inf
+    kth = float(np.partition(scores, len(scores) - k)[len(scores) - k])
+    near = scores >= kth - 2e-6
+    ids, scores = ids[near], scores[near]
+    even = np.round(scores, 9)  # sums of equal terms may differ in their last bits
+    order = np.lexsort((ids, -even))
+    even = even[order]
+    starts = np.flatnonzero(np.append(True, even[1:] != even[:-1]))
+    place = np.arange(len(even)) - np.repeat(starts, np.diff(np.append(starts, len(even))))
+    keep = order[place < k]
+    return (ids[keep], scores[keep]), kth
+
+
 def bm25_pruned(index: InvertedIndex, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, prune: bool = True, report: bool = False, seeds: int = 0) -> DataFrame:
     """(qid, doc_id, score, rk): the rows of BM25 over all documents. A range
     whose bound is below the k-th best score of its shelf so far is passed over.
@@ -212,59 +234,59 @@ def bm25_pruned(index: InvertedIndex, queries: DataFrame, k: int = 10, k1: float
 
 
 def weighted_bm25(index: InvertedIndex, terms: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, prune: bool = True, report: bool = False, seeds: int = 0) -> DataFrame:
-    """The same for terms (qid, term, weight) with a positive weight each."""
+    """The same for terms (qid, term, weight) with a positive weight each; qid is
+    a whole number, as scores of many queries are one matrix for each range."""
+    terms = written(terms, "asked")
     found = index.of_terms(terms)
     df = found.groupBy("term").agg(F.sum("n").alias("df"))
     weighted = terms.join(df, "term").select("term", "qid", (F.col("weight") * F.log(1 + (index.n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"), F.lit(0.0).alias("floor"))
-    mean = index.mean or 1.0
+    mean, many = index.mean or 1.0, terms.select("qid").distinct().count()
     kind = terms.schema["qid"].dataType.simpleString()
 
     def part(tf, dl):
         return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
 
     def search(blocks: pa.Table, headers: pa.Table, tell: bool = False) -> list[tuple]:
-        heads, told = _headers(headers), []
-        per: dict[int, dict[int, list[tuple]]] = {}
-        floors: dict[int, float] = {}
-        for row in _rows(blocks, ("at", "tfs")):
-            ids, lengths = heads[row["range"]]
-            at = np.cumsum(row["at"])
-            known = at, part(row["tfs"], lengths[at]), part(row["most"], row["least"]), len(at)
-            for ask in row["asks"]:
-                floors[ask["qid"]] = ask["floor"]
-                per.setdefault(ask["qid"], {}).setdefault(row["range"], []).append((ask["idf"], *known))
-        out = []
-        for qid, ranges in per.items():
-            floor = floors[qid]
+        heads, lists = _headers(headers), blocks["asks"].combine_chunks()
+        asks, ends = lists.flatten(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+        qids, at = np.unique(asks.field("qid").to_numpy(), return_inverse=True)
+        idf, floor = asks.field("idf").to_numpy(), np.zeros(len(qids))
+        floor[at] = asks.field("floor").to_numpy()
+        ranges: dict[int, list[tuple]] = {}
+        for i, row in enumerate(_rows(blocks.drop_columns("asks"), ("at", "tfs"))):
+            place = np.cumsum(row["at"])
+            own = slice(ends[i], ends[i + 1])
+            known = part(row["tfs"], heads[row["range"]][1][place]), part(row["most"], row["least"])
+            ranges.setdefault(row["range"], []).append((at[own], idf[own], place, *known))
+        bounds = {r: np.zeros(len(qids)) for r in ranges}
+        postings = {r: np.zeros(len(qids), np.int64) for r in ranges}
+        for r, mine in ranges.items():
+            for who, weight, place, _, most in mine:
+                bounds[r][who] += weight * most
+                postings[r][who] += len(place)
+        best, least = [(np.zeros(0, np.int64), np.zeros(0))] * len(qids), floor.copy()
+        there, scored = sum(postings.values()), np.zeros(len(qids), np.int64)
+        for r in sorted(ranges, key=lambda r: (-bounds[r].max(), r)):
             # rounding may lift a score by half a unit of the sixth digit
-            bounds = sorted(((sum(x[0] * x[3] for x in mine) + 1e-6, r) for r, mine in ranges.items()), reverse=True)
-            best: list[tuple] = []
-            there = scored = 0
-            for bound, r in bounds:
-                mine = ranges[r]
-                postings = sum(x[4] for x in mine)
-                there += postings
-                if prune and (bound < floor or (len(best) == k and bound < -best[-1][0])):
-                    continue
-                scored += postings
-                ids, lengths = heads[r]
-                total, met = np.zeros(len(ids)), np.zeros(len(ids), bool)
-                for idf, at, value, _, _ in mine:
-                    total[at] += idf * value
-                    met[at] = True
-                # more digits than a ranking has would part ties
-                hits = {}
-                for i in np.flatnonzero(met):
-                    hits[int(ids[i])] = max(round(float(total[i]), 6), hits.get(int(ids[i]), -np.inf))
-                best = sorted(best + [(-s, i) for i, s in hits.items()])
-                seen: set[int] = set()
-                best = [x for x in best if x[1] not in seen and not seen.add(x[1])][:k]
-            told.append((qid, there, scored))
-            out += [(qid, i, -s) for s, i in best]
-        return told if tell else out
+            need = (bounds[r] > 0) & (bounds[r] + 2e-6 >= least) if prune else bounds[r] > 0
+            scored += np.where(need, postings[r], 0)
+            line = np.cumsum(need) - 1
+            total = np.zeros((int(need.sum()), len(heads[r][0])))
+            for who, weight, place, value, _ in ranges[r]:
+                here = need[who]
+                total[np.ix_(line[who[here]], place)] += np.outer(weight[here], value)
+            hits = (total > 0) & (total >= least[need][:, None] - 2e-6)
+            lines = np.flatnonzero(need)
+            for k_line in np.flatnonzero(hits.any(axis=1)):
+                q, met = lines[k_line], hits[k_line]
+                best[q], kth = _best(np.concatenate([best[q][0], heads[r][0][met]]), np.concatenate([best[q][1], total[k_line, met]]), k)
+                least[q] = max(least[q], kth)
+        if tell:
+            return list(zip(qids.tolist(), there.tolist(), scored.tolist()))
+        return [(int(q), int(i), float(x)) for q, b in zip(qids, best) for i, x in zip(*b)]
 
     columns, schema = ["most", "least", "at", "tfs"], pa.schema([("qid", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
-    ranked = lambda weighted, found: top_k(index.by_shelf(weighted, found, columns, search, schema, f"qid {kind}, doc_id bigint, score double").groupBy("qid", "doc_id").agg(F.max("score").alias("score")), k)
+    ranked = lambda weighted, found: top_k(index.by_shelf(weighted, many, found, columns, search, schema, f"qid {kind}, doc_id bigint, score double").groupBy("qid", "doc_id").agg(F.max("score").alias("score")), k)
     if seeds and prune:
         bounds = found.select("term", "range", "most", "least").join(weighted, "term").groupBy("qid", "range")
         bounds = written(bounds.agg((F.sum(F.col("idf") * part(F.col("most"), F.col("least"))) + 2e-6).alias("bound")), "bounds")
@@ -278,7 +300,7 @@ def weighted_bm25(index: InvertedIndex, terms: DataFrame, k: int = 10, k1: float
         found = found.join(needed, "range", "left_semi")
     if report:
         told = pa.schema([("qid", pa.int64()), ("postings", pa.int64()), ("scored", pa.int64())])
-        each = index.by_shelf(weighted, found, columns, partial(search, tell=True), told, f"qid {kind}, postings bigint, scored bigint")
+        each = index.by_shelf(weighted, many, found, columns, partial(search, tell=True), told, f"qid {kind}, postings bigint, scored bigint")
         return each.groupBy("qid").agg(F.sum("postings").alias("postings"), F.sum("scored").alias("scored"))
     return ranked(weighted, found)
 
@@ -296,7 +318,7 @@ def _search(index: InvertedIndex, queries: DataFrame, match: Callable[[list[tupl
     """(qid, doc_id, two numbers) where match() gives them by document's place,
     from the blocks of all places of a query."""
     words = F.posexplode(tokens(F.col("input")))
-    asked = queries.select("qid", F.size(tokens(F.col("input"))).alias("m"), words.alias("i", "term")).distinct()
+    asked = written(queries.select("qid", F.size(tokens(F.col("input"))).alias("m"), words.alias("i", "term")).distinct(), "asked")
     found = _whole_ranges(index.of_terms(asked), asked)
     kind = queries.schema["qid"].dataType.simpleString()
 
@@ -316,7 +338,7 @@ def _search(index: InvertedIndex, queries: DataFrame, match: Callable[[list[tupl
         return out
 
     schema = pa.schema([("qid", pa.int64()), ("doc_id", pa.int64()), (names[0], pa.int64()), (names[1], pa.int64())])
-    return index.by_shelf(asked.select("term", "qid", "i", "m"), found, ["at", "tfs", "positions"], search, schema, f"qid {kind}, doc_id bigint, {names[0]} bigint, {names[1]} bigint")
+    return index.by_shelf(asked.select("term", "qid", "i", "m"), asked.select("qid").distinct().count(), found, ["at", "tfs", "positions"], search, schema, f"qid {kind}, doc_id bigint, {names[0]} bigint, {names[1]} bigint")
 
 
 def phrases(index: InvertedIndex, queries: DataFrame) -> DataFrame:

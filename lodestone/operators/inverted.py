@@ -35,8 +35,8 @@ from lodestone.functions.text import tokens
 from lodestone.operators.ranking import query_terms, top_k
 from lodestone.sources.shared import shared_path, written
 
-#: Documents of a range, and ranges of a shelf.
-SPAN, SHELF = 256, 64
+#: Documents and, but for a longer document, tokens of a range; ranges of a shelf.
+SPAN, TOKENS, SHELF = 4096, 1 << 21, 2
 BUCKETS = 32
 #: Documents whose blocks of a bucket one task writes.
 WRITTEN_AT_ONCE = 4_000_000
@@ -44,7 +44,7 @@ WRITTEN_AT_ONCE = 4_000_000
 #: that travel with a block in one row.
 SMALL, ASKED = 100_000, 4096
 HEADER = -1
-BLOCK = "term string, range bigint, n int, most int, least int, at array<int>, tfs array<int>, positions array<int>, ids array<bigint>"
+BLOCK = "term string, range bigint, n int, most int, least int, at binary, tfs binary, positions binary, ids array<bigint>, lengths array<int>"
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -65,8 +65,39 @@ def _sums(gaps: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return whole - np.repeat(whole[starts] - gaps[starts], sizes)
 
 
-def _lists(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), pa.array(values, kind))
+def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers from 0 in groups of seven bits, the lowest first, with the
+    eighth bit set where another group follows; and the bytes of each number."""
+    values = values.astype(np.uint64)
+    sizes = np.ones(len(values), np.int64)
+    for bits in range(7, 64, 7):
+        sizes += values >= np.uint64(1 << bits)
+    starts = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), np.uint8)
+    for k in range(int(sizes.max(initial=0))):
+        own = sizes > k
+        low = (values[own] >> np.uint64(7 * k)).astype(np.uint64) & np.uint64(127)
+        out[starts[own] + k] = (low | (np.uint64(128) * (sizes[own] > k + 1))).astype(np.uint8)
+    return out, sizes
+
+
+def numbers(data: np.ndarray) -> np.ndarray:
+    """What varints() was given."""
+    if not len(data):
+        return np.zeros(0, np.int64)
+    ends = np.flatnonzero(data < 128)
+    if len(ends) == len(data):
+        return data.astype(np.int64)
+    starts = np.append(0, ends[:-1] + 1)
+    place = np.arange(len(data)) - np.repeat(starts, ends - starts + 1)
+    return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), starts)
+
+
+def _packed(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Stretches of numbers as packed bytes."""
+    data, sizes = varints(values)
+    ends = np.append(0, np.cumsum(sizes))[np.append(starts, len(values))].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)])
 
 
 def _blocks_of(ids: np.ndarray, words: pa.ListArray, range_id: int) -> Iterator[pa.RecordBatch]:
@@ -74,7 +105,7 @@ def _blocks_of(ids: np.ndarray, words: pa.ListArray, range_id: int) -> Iterator[
     names = [f.split()[0] for f in BLOCK.split(", ")]
     lengths, m = words.value_lengths().to_numpy().astype(np.int64), len(ids)
     ints = pa.list_(pa.int32())
-    head = [pa.array([None], pa.string()), pa.array([range_id]), pa.array([m], pa.int32()), *[pa.array([None], pa.int32())] * 2, pa.array([None], ints), pa.array([lengths], ints), pa.array([None], ints), pa.array([ids], pa.list_(pa.int64()))]
+    head = [pa.array([None], pa.string()), pa.array([range_id]), pa.array([m], pa.int32()), *[pa.nulls(1, pa.int32())] * 2, *[pa.nulls(1, pa.binary())] * 3, pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], ints)]
     yield pa.RecordBatch.from_arrays(head, names)
     total = int(lengths.sum())
     if not total:
@@ -96,10 +127,11 @@ def _blocks_of(ids: np.ndarray, words: pa.ListArray, range_id: int) -> Iterator[
         pa.array(np.diff(np.append(terms, len(postings))), pa.int32()),
         pa.array(np.maximum.reduceat(tf, terms), pa.int32()),
         pa.array(np.minimum.reduceat(lengths[at], terms), pa.int32()),
-        _lists(_gaps(at, terms), terms, pa.int32()),
-        _lists(tf, terms, pa.int32()),
-        pa.ListArray.from_arrays(pa.array(np.append(postings[terms], total).astype(np.int32)), pa.array(_gaps(place, postings), pa.int32())),
+        _packed(_gaps(at, terms), terms),
+        _packed(tf, terms),
+        _packed(_gaps(place, postings), postings[terms]),
         pa.nulls(len(terms), pa.list_(pa.int64())),
+        pa.nulls(len(terms), ints),
     ]
     yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -136,8 +168,12 @@ class InvertedIndex:
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = TaskContext.get().partitionId() << 32
             for batch in batches:
-                for k in range(0, batch.num_rows, span):
-                    part = batch.slice(k, span)
+                ends, k = np.cumsum(batch.column(1).value_lengths().to_numpy()), 0
+                while k < batch.num_rows:
+                    before = ends[k - 1] if k else 0
+                    n = min(span, max(1, int(np.searchsorted(ends, before + TOKENS, "right")) - k), batch.num_rows - k)
+                    part = batch.slice(k, n)
+                    k += n
                     order = np.argsort(part.column(0).to_numpy(), kind="stable")
                     yield from _blocks_of(part.column(0).to_numpy()[order], part.column(1).take(pa.array(order)), at)
                     at += 1
@@ -146,9 +182,9 @@ class InvertedIndex:
         rows = rows.withColumn("bucket", F.when(F.col("term").isNull(), HEADER).otherwise(bucket_of(F.col("term"), buckets)))
         parts = -(-n // WRITTEN_AT_ONCE)
         dealt = rows.repartition(buckets * max(parts, 1), "bucket", F.pmod(F.col("range"), F.lit(max(parts, 1))))
-        dealt.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/blocks")
+        dealt.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/blocks")
         made = spark.read.schema(f"{BLOCK}, bucket int").parquet(f"{path}/blocks").filter(F.col("bucket") == HEADER)
-        words = made.agg(F.sum(F.aggregate("tfs", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
+        words = made.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
         spark.createDataFrame([(buckets, n, words / n if n else 0.0)], "buckets int, n bigint, mean double").coalesce(1).write.parquet(f"{path}/about")
         return cls(spark, path)
 
@@ -158,7 +194,7 @@ class InvertedIndex:
 
     def headers(self) -> DataFrame:
         """(range, ids, lengths) of the ranges."""
-        return self.blocks.filter(F.col("bucket") == HEADER).select("range", "ids", F.col("tfs").alias("lengths"))
+        return self.blocks.filter(F.col("bucket") == HEADER).select("range", "ids", "lengths")
 
     def of_terms(self, terms: DataFrame) -> DataFrame:
         """The blocks of these terms; other buckets' folders are not opened."""
@@ -192,11 +228,11 @@ def _headers(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 
 def _rows(table: pa.Table, columns: tuple[str, ...]) -> Iterator[dict]:
-    """Rows with their lists as arrays."""
+    """Rows with their packed numbers as arrays."""
     arrays = {c: table[c] for c in columns}
     plain = {c: table[c].to_pylist() for c in table.column_names if c not in columns}
     for i in range(table.num_rows):
-        yield {c: v[i] for c, v in plain.items()} | {c: a[i].values.to_numpy() for c, a in arrays.items()}
+        yield {c: v[i] for c, v in plain.items()} | {c: numbers(np.frombuffer(a[i].as_buffer(), np.uint8)) for c, a in arrays.items()}
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[tuple[np.ndarray, np.ndarray], float]:

@@ -16,6 +16,13 @@ from lodestone.sources.tables import table
 S = Settings()
 
 
+def configure(settings: Settings) -> None:
+    """The settings of all queries from here on; they are read when a query is
+    planned."""
+    global S
+    S = settings
+
+
 def _docs(spark, d) -> DataFrame:
     return terms.spread(table(spark, d, "documents").select("doc_id", "text"))
 
@@ -28,8 +35,8 @@ def _questions(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("input"))
 
 
-def _bm25_hits(index, spark, d, k=S.k) -> DataFrame:
-    return ranking.bm25(index, _questions(spark, d), k, S.k1, S.b)
+def _bm25_hits(index, spark, d) -> DataFrame:
+    return ranking.bm25(index, _questions(spark, d), S.k, S.k1, S.b)
 
 
 def tokenize_docs(spark, d):

@@ -51,7 +51,7 @@ def test_postings_come_back_as_they_were(spark, corpus, index):
     heads = {r.range: r.ids for r in index.headers().collect()}
     got = {}
     for r in index.blocks.filter("term is not null").collect():
-        block = inverted.Block({"at": inverted.np.array(r["at"]), "tfs": inverted.np.array(r.tfs), "positions": inverted.np.array(r.positions)})
+        block = inverted.Block({c: inverted.numbers(inverted.np.frombuffer(r[c], inverted.np.uint8)) for c in ("at", "tfs", "positions")})
         for key in block.keys().tolist():
             got.setdefault((heads[r.range][key >> 32], r.term), []).append(key & 0xFFFFFFFF)
     want = {}
@@ -61,6 +61,11 @@ def test_postings_come_back_as_they_were(spark, corpus, index):
     assert got == want
 
 
+def test_packed_numbers():
+    values = inverted.np.array([0, 1, 127, 128, 300, 16383, 16384, 2**31, 2**62, 5])
+    assert inverted.numbers(inverted.varints(values)[0]).tolist() == values.tolist() and inverted.varints(values)[1][:5].tolist() == [1, 1, 1, 2, 2]
+
+
 @pytest.mark.parametrize("shelf", [1, 64])
 def test_pruned_ranking_equals_bm25_over_the_forward_index(spark, corpus, index, shelf, monkeypatch):
     monkeypatch.setattr(inverted, "SHELF", shelf)
@@ -120,6 +125,15 @@ def test_a_query_reads_the_folders_of_its_terms(spark, index):
     assert re.search(rf"PartitionFilters: \[[^\]]*bucket#\d+ (= {here}|IN \({here}\))", plan)
 
 
+def test_ranges_are_cut_by_tokens_too(spark, corpus, index, monkeypatch):
+    monkeypatch.setattr(inverted, "TOKENS", 100)
+    small = InvertedIndex.build(corpus[1])
+    assert all(sum(r.lengths) <= 100 or len(r.lengths) == 1 for r in small.headers().collect())
+    queries = asked(spark, ["w1 w2", "w39 w38"])
+    for search in (inverted.phrases, inverted.bm25_pruned):
+        assert sorted(map(tuple, search(small, queries).collect())) == sorted(map(tuple, search(index, queries).collect()))
+
+
 def test_odd_tables(spark, corpus):
     none = InvertedIndex.build(corpus[1].limit(0))
     assert none.n == 0 and none.terms().count() == 0 and inverted.bm25_pruned(none, asked(spark, ["w1"])).count() == 0

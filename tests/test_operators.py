@@ -164,3 +164,14 @@ def test_wrong_graphs_are_told():
         StageGraph().compile()
     with pytest.raises(ValueError, match="entry"):
         StageGraph().add_node("a", stage).set_entry("z").compile()
+
+
+def test_settings_reach_the_queries(spark, sf):
+    from lodestone.plans import queries
+    from lodestone.settings import Settings
+
+    try:
+        queries.configure(Settings(k=2))
+        assert queries.queries()["bm25_topk"](spark, sf).agg({"rk": "max"}).first()[0] == 2
+    finally:
+        queries.configure(Settings())

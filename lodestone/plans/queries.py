@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import ENTITIES, HIDDEN, TITLE, tokens
-from lodestone.operators import answers, feedback, inverted, ranking, terms
+from lodestone.operators import answers, feedback, inverted, ranking, sentences, terms
 from lodestone.operators.inverted import InvertedIndex
 from lodestone.operators.terms import Index
 from lodestone.plans.graph import END, StageGraph
@@ -194,10 +194,16 @@ def merged_passages(spark, d):
     return feedback.merged_spans(hits, docs, S.chunk, S.stride)
 
 
+def sentence_answer(spark, d):
+    """Three central sentences of the best documents of each question."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return sentences.central_sentences(_bm25_hits(_index(spark, d), spark, d), docs, _questions(spark, d))
+
+
 _QUERIES = [
     tokenize_docs, term_stats, chunk_docs, bm25_topk, tfidf_cosine_topk, dense_knn, rrf_fusion, mmr_rerank, grade_filter, dedup_exact,
     context_pack, chat_history, route_turn, build_prompt, extractive_answer, qrels, retrieval_eval, html_to_text, graph_run,
-    phrase_search, proximity_search, bm25_pruned, rm3_topk, corrective_loop, near_spellings, merged_passages,
+    phrase_search, proximity_search, bm25_pruned, rm3_topk, corrective_loop, near_spellings, merged_passages, sentence_answer,
 ]
 
 

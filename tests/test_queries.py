@@ -33,7 +33,7 @@ def test_equals_its_sql(spark, sf, duck, name):
 
 
 def test_every_query_has_sql_or_a_test():
-    assert set(queries.queries()) - set(queries.oracle_sql()) == {"mmr_rerank", "corrective_loop", "near_spellings"}
+    assert set(queries.queries()) - set(queries.oracle_sql()) == {"mmr_rerank", "corrective_loop", "near_spellings", "sentence_answer"}
 
 
 def test_mmr_picks_the_best_and_then_the_unlike(spark):

@@ -1,0 +1,69 @@
+"""Sentence graphs against a dense power iteration."""
+
+import re
+
+import numpy as np
+
+from lodestone.operators import ranking, sentences
+from lodestone.operators.terms import Index
+from lodestone.plans import queries
+
+
+def tok(text):
+    return [w for w in re.split(r"[^\w]+", (text or "").lower()) if w]
+
+
+def plain(docs, hits, asked, keep, most, damping=0.85, rounds=50):
+    """docs: id -> text; hits: (doc_id, rk) of one question."""
+    rows = []
+    for doc, rk in hits:
+        for place, s in enumerate(re.split(r"(?<=[.!?])\s+|\n+", docs[doc] or "")):
+            overlap = len(set(tok(s)) & set(tok(asked)))
+            if overlap:
+                rows.append((-overlap, rk, place, s))
+    rows = sorted(rows)[:most]
+    if not rows:
+        return None
+    sets = [set(tok(r[3])) for r in rows]
+    n = len(sets)
+    w = np.array([[0.0 if i == j else len(a & b) / np.sqrt(len(a) * len(b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    step = np.array([row / row.sum() if row.sum() else np.full(n, 1 / n) for row in w])
+    r = np.full(n, 1 / n)
+    for _ in range(rounds):
+        r = (1 - damping) / n + damping * r @ step
+    best = sorted(range(n), key=lambda i: (-round(r[i], 9), i))[:keep]
+    return " ".join(rows[i][3].strip() for i in sorted(best, key=lambda i: rows[i][1:3]))
+
+
+TEXTS = {
+    1: "The red fox runs. A fox is fast! Nothing here?\nFoxes and hares run fast in the red field. The end",
+    2: "Hares run. Hares are fast. The fox is red and fast and runs.",
+    3: None,
+    4: "Unrelated words only.",
+    5: "fast fast. fast. Fox.",
+}
+
+
+def test_answers_equal_a_dense_power_iteration(spark):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in TEXTS.items()], "doc_id long, text string, node string")
+    inputs = ["fast red fox", "hares", "missing", None, "words the fast", "fox"]
+    asked = spark.createDataFrame([(i, t, 1) for i, t in enumerate(inputs)], "qid long, input string, rk int")
+    hits = ranking.bm25(Index(docs), asked, k=4)
+    by_query = {}
+    for r in hits.collect():
+        by_query.setdefault(r.qid, []).append((r.doc_id, r.rk))
+    for keep, most in ((3, 48), (2, 4), (1, 1)):
+        got = {r.qid: r.answer for r in sentences.central_sentences(hits, docs, asked, keep, most).collect()}
+        want = {q: plain(TEXTS, sorted(h, key=lambda x: x[1]), inputs[q], keep, most) for q, h in by_query.items()}
+        assert got == {q: a for q, a in want.items() if a is not None}
+    assert sentences.central_sentences(hits.limit(0), docs, asked).count() == 0
+
+
+def test_query_equals_the_plain_version(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    hits = {}
+    for r in queries.queries()["bm25_topk"](spark, sf).collect():
+        hits.setdefault(r.qid, []).append((r.doc_id, r.rk))
+    asked = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    got = {r.qid: r.answer for r in queries.queries()["sentence_answer"](spark, sf).collect()}
+    assert got == {q: plain(texts, sorted(h, key=lambda x: x[1]), asked[q], 3, 48) for q, h in hits.items()}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import ENTITIES, HIDDEN, TITLE, tokens
-from lodestone.operators import answers, feedback, inverted, ranking, sentences, terms
+from lodestone.operators import answers, feedback, inverted, ranking, sentences, temporal, terms
 from lodestone.operators.inverted import InvertedIndex
 from lodestone.operators.terms import Index
 from lodestone.plans.graph import END, StageGraph
@@ -200,10 +200,18 @@ def sentence_answer(spark, d):
     return sentences.central_sentences(_bm25_hits(_index(spark, d), spark, d), docs, _questions(spark, d))
 
 
+def asof_events(spark, d):
+    """Each purchase with the latest click of its user before it."""
+    events = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    clicks = events.filter("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click_id"), F.col("value").alias("click_value"))
+    bought = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts", "value")
+    return temporal.asof_join(bought, clicks, "user_id", "ts", ["click_id", "click_value"]).select("event_id", "user_id", "value", "click_id", "click_value")
+
+
 _QUERIES = [
     tokenize_docs, term_stats, chunk_docs, bm25_topk, tfidf_cosine_topk, dense_knn, rrf_fusion, mmr_rerank, grade_filter, dedup_exact,
     context_pack, chat_history, route_turn, build_prompt, extractive_answer, qrels, retrieval_eval, html_to_text, graph_run,
-    phrase_search, proximity_search, bm25_pruned, rm3_topk, corrective_loop, near_spellings, merged_passages, sentence_answer,
+    phrase_search, proximity_search, bm25_pruned, rm3_topk, corrective_loop, near_spellings, merged_passages, sentence_answer, asof_events,
 ]
 
 
@@ -328,6 +336,9 @@ mk AS (SELECT *, CASE WHEN ix * 48 <= lag(ix) OVER w * 48 + 64 THEN 0 ELSE 1 END
 il AS (SELECT *, sum(b) OVER (PARTITION BY qid, doc_id ORDER BY ix ROWS UNBOUNDED PRECEDING) AS island FROM mk),
 sp AS (SELECT qid, doc_id, min(ix) * 48 AS start, max(ix) * 48 + 64 AS stop, max(score) AS score, count(*) AS passages FROM il GROUP BY qid, doc_id, island)
 SELECT qid, doc_id, start, least(stop, len(w)) AS stop, score, passages, array_to_string(w[start + 1:least(stop, len(w))], ' ') AS span FROM sp JOIN ct USING (doc_id)""",
+        "asof_events": """
+WITH c AS (SELECT user_id, ts, max(event_id) AS click_id, arg_max(value, event_id) AS click_value FROM events WHERE event_type = 'click' GROUP BY user_id, ts)
+SELECT p.event_id, p.user_id, p.value, c.click_id, c.click_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN c ON p.user_id = c.user_id AND p.ts >= c.ts""",
         "qrels": f"WITH {_QRELS} SELECT * FROM rel",
         "retrieval_eval": f"""
 WITH {_BM25}, {_QRELS},

@@ -12,6 +12,7 @@ SCHEMAS = {
     "labels": "doc_id bigint, quality int, toxic int",
     "conversations": "conv_id bigint, turn bigint, role string, text string",
     "pages": "page_id bigint, url string, html string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
     "embeddings": "vec_id bigint, embedding array<float>, label int",
 }
 

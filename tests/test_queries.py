@@ -7,7 +7,7 @@ import pytest
 
 from lodestone.plans import queries
 
-TABLES = "documents embeddings pages benchmark labels conversations".split()
+TABLES = "documents embeddings pages benchmark labels conversations events".split()
 
 
 @pytest.fixture(scope="module")

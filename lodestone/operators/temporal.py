@@ -1,8 +1,12 @@
-"""The as-of join: for each row the latest row of another table before it.
+"""Joins by time: for each row the latest row of another table before it, and
+all points that lie within intervals.
 
-Defined cases: rows without a key or a time find nothing; of right rows with one
-key and time the largest counts, by its columns in order; repeated left rows
-are given each; empty tables give no rows, or left rows that found nothing.
+Defined cases of the as-of join: rows without a key or a time find nothing; of
+right rows with one key and time the largest counts, by its columns in order;
+repeated left rows are given each; empty tables give no rows, or left rows that
+found nothing. Of the interval join: a bound or point that is null, or an
+interval that ends where it starts or before, meets nothing; an interval longer
+than a long is an error; repeated rows meet each; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -41,3 +45,24 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, time: str, columns: li
     handed = ends.withColumn("handed", F.last("last", ignorenulls=True).over(before)).filter("handed is not null").select("part", "key", "handed")
     found = carried.join(handed, ["part", "key"], "left").withColumn("found", F.when(F.col("at").isNotNull(), F.coalesce("found", "handed")))
     return found.select(*[F.col("row")[c].alias(c) for c in [by, time, *kept]], *[F.col("found")[c].alias(c) for c in columns])
+
+
+def interval_join(intervals: DataFrame, points: DataFrame, start: str, stop: str, at: str) -> DataFrame:
+    """Pairs (all columns of both, which must have names of their own) with
+    start <= at < stop, of whole numbers.
+
+    An interval belongs to the level of the least power of two that is not
+    shorter than it, and so to two cells of that width at most; a point has one
+    cell on each level that occurs, of which there are 64 at most. Cells meet in
+    an equality join and the bounds decide, so no side is compared with all of
+    the other, and a long interval costs no more rows than a short one. A first
+    and a second cell are told apart by the check alone, as they differ."""
+    # binary digits of the length less one: a logarithm would be rounded
+    digits = F.length(F.bin(F.col(stop) - F.col(start) - 1))
+    sized = intervals.filter(F.col(start) < F.col(stop)).withColumn("level_", F.when(F.col(stop) - F.col(start) == 1, 0).otherwise(digits))
+    levels = sorted(r[0] for r in sized.select("level_").distinct().collect())
+    cell = lambda value: F.expr(f"shiftright({value}, level_)")
+    cells = sized.withColumn("cell_", F.explode(F.array_distinct(F.array(cell(f"`{start}`"), cell(f"(`{stop}` - 1)")))))
+    spots = points.filter(F.col(at).isNotNull()).withColumn("level_", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("cell_", cell(f"`{at}`"))
+    met = cells.join(spots, ["level_", "cell_"]).filter((F.col(start) <= F.col(at)) & (F.col(at) < F.col(stop)))
+    return met.drop("level_", "cell_")

@@ -208,10 +208,20 @@ def asof_events(spark, d):
     return temporal.asof_join(bought, clicks, "user_id", "ts", ["click_id", "click_value"]).select("event_id", "user_id", "value", "click_id", "click_value")
 
 
+def interval_events(spark, d):
+    """Purchases within ten minutes from each error on, of whatever user."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    events = table(spark, d, "events").select("event_id", micros.alias("at"), "event_type", "value")
+    opened = events.filter("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.col("at").alias("start"), (F.col("at") + 600_000_000).alias("stop"))
+    bought = events.filter("event_type = 'purchase'").select("event_id", "at", "value")
+    met = temporal.interval_join(opened, bought, "start", "stop", "at")
+    return met.groupBy("error_id").agg(F.count("*").alias("purchases"), F.min("event_id").alias("first_id"), F.round(F.sum("value"), 4).alias("total"))
+
+
 _QUERIES = [
     tokenize_docs, term_stats, chunk_docs, bm25_topk, tfidf_cosine_topk, dense_knn, rrf_fusion, mmr_rerank, grade_filter, dedup_exact,
     context_pack, chat_history, route_turn, build_prompt, extractive_answer, qrels, retrieval_eval, html_to_text, graph_run,
-    phrase_search, proximity_search, bm25_pruned, rm3_topk, corrective_loop, near_spellings, merged_passages, sentence_answer, asof_events,
+    phrase_search, proximity_search, bm25_pruned, rm3_topk, corrective_loop, near_spellings, merged_passages, sentence_answer, asof_events, interval_events,
 ]
 
 
@@ -339,6 +349,9 @@ SELECT qid, doc_id, start, least(stop, len(w)) AS stop, score, passages, array_t
         "asof_events": """
 WITH c AS (SELECT user_id, ts, max(event_id) AS click_id, arg_max(value, event_id) AS click_value FROM events WHERE event_type = 'click' GROUP BY user_id, ts)
 SELECT p.event_id, p.user_id, p.value, c.click_id, c.click_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN c ON p.user_id = c.user_id AND p.ts >= c.ts""",
+        "interval_events": """
+SELECT e.event_id AS error_id, count(*) AS purchases, min(p.event_id) AS first_id, round(sum(p.value), 4) AS total
+FROM events e JOIN events p ON e.event_type = 'error' AND p.event_type = 'purchase' AND p.ts >= e.ts AND p.ts < e.ts + INTERVAL 10 MINUTE GROUP BY e.event_id""",
         "qrels": f"WITH {_QRELS} SELECT * FROM rel",
         "retrieval_eval": f"""
 WITH {_BM25}, {_QRELS},

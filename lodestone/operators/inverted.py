@@ -39,7 +39,7 @@ from lodestone.sources.shared import shared_path, written
 SPAN, TOKENS, SHELF = 4096, 1 << 21, 2
 BUCKETS = 32
 #: Documents whose blocks of a bucket one task writes.
-WRITTEN_AT_ONCE = 4_000_000
+WRITTEN_AT_ONCE = 250_000
 #: Query terms up to which they are sent to all tasks, and queries of a term
 #: that travel with a block in one row.
 SMALL, ASKED = 100_000, 4096
@@ -180,8 +180,9 @@ class InvertedIndex:
 
         rows = docs.filter(F.col(id).isNotNull()).select(F.col(id).cast("bigint").alias("id"), tokens(F.col(text)).alias("words")).mapInArrow(pack, BLOCK)
         rows = rows.withColumn("bucket", F.when(F.col("term").isNull(), HEADER).otherwise(bucket_of(F.col("term"), buckets)))
-        parts = -(-n // WRITTEN_AT_ONCE)
-        dealt = rows.repartition(buckets * max(parts, 1), "bucket", F.pmod(F.col("range"), F.lit(max(parts, 1))))
+        parts = max(-(-n // WRITTEN_AT_ONCE), 1)
+        # twice as many tasks as keys, so that few of them get several
+        dealt = rows.repartition(2 * buckets * parts, "bucket", F.pmod(F.xxhash64("range"), F.lit(parts)))
         dealt.sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/blocks")
         made = spark.read.schema(f"{BLOCK}, bucket int").parquet(f"{path}/blocks").filter(F.col("bucket") == HEADER)
         words = made.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0

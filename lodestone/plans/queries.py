@@ -326,8 +326,10 @@ WITH {_Q}, {_CHUNKS}, keyed AS (SELECT printf('%015d', doc_id) || '/' || printf(
 {_bm25("keyed", "q", 1, "key")}
 SELECT qid, split_part(key, '/', 1)::BIGINT AS doc_id, split_part(key, '/', 2)::BIGINT AS chunk_ix, text AS answer FROM hits JOIN keyed USING (key)""",
         "phrase_search": f"""
-WITH {_PHRASES}, t AS (SELECT doc_id, {_TOK.format("text")} AS w FROM documents),
-h AS (SELECT qid, doc_id, list_filter(range(len(w) - len(p) + 1), lambda i: w[i + 1:i + len(p)] = p) AS h FROM t JOIN p ON len(p) > 0 AND list_has_all(w, p))
+WITH {_PHRASES}, t AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s FROM (SELECT doc_id, {_TOK.format("text")} AS w FROM documents)),
+pp AS (SELECT qid, p, ' ' || array_to_string(p, ' ') || ' ' AS s FROM p WHERE len(p) > 0),
+held AS MATERIALIZED (SELECT qid, doc_id, w, p FROM t JOIN pp ON contains(t.s, pp.s)),
+h AS (SELECT qid, doc_id, list_filter(range(len(w) - len(p) + 1), lambda i: w[i + 1:i + len(p)] = p) AS h FROM held)
 SELECT qid, doc_id, len(h)::BIGINT AS hits, h[1] AS first FROM h WHERE len(h) > 0""",
         "proximity_search": f"""
 WITH {_NEAR}, {_POSITIONS},

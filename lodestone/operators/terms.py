@@ -34,8 +34,19 @@ class Index:
     def __init__(self, docs: DataFrame, id: str = "doc_id", text: str = "text"):
         self.id = id
         ordered = docs.select(id, F.array_sort(tokens(F.col(text))).alias("words"))
-        self.docs = written(ordered.select(id, F.size("words").cast("bigint").alias("dl"), term_counts(F.col("words")).alias("terms")), "index")
-        told = self.docs.agg(F.count("*"), F.avg("dl")).first()
+        self._set(written(ordered.select(id, F.size("words").cast("bigint").alias("dl"), term_counts(F.col("words")).alias("terms")), "index"))
+
+    @classmethod
+    def of(cls, rows: DataFrame, id: str = "doc_id") -> Index:
+        """An index over rows (id, dl, terms) that are there already."""
+        index = cls.__new__(cls)
+        index.id = id
+        index._set(rows)
+        return index
+
+    def _set(self, rows: DataFrame) -> None:
+        self.docs = rows
+        told = rows.agg(F.count("*"), F.avg("dl")).first()
         self.n, self.mean = told[0], told[1] or 0.0
         self._norms = None
 

@@ -11,7 +11,9 @@ from lodestone.operators.inverted import InvertedIndex
 from lodestone.operators.terms import Index
 from lodestone.plans.graph import END, StageGraph
 from lodestone.settings import Settings
-from lodestone.sources.tables import table
+from lodestone.sources.shared import shared_path
+from lodestone.sources.tables import stream, table
+from lodestone.streaming.incremental import SegmentedIndex
 
 S = Settings()
 
@@ -218,10 +220,23 @@ def interval_events(spark, d):
     return met.groupBy("error_id").agg(F.count("*").alias("purchases"), F.min("event_id").alias("first_id"), F.round(F.sum("value"), 4).alias("total"))
 
 
+def streamed_bm25(spark, d):
+    """BM25 on an index that two streams have filled: the documents, and the
+    withdrawals of those that are labelled toxic."""
+    index = SegmentedIndex(spark)
+    added = stream(spark, d, "documents", S.files_at_once).select("doc_id", "text", F.lit(0).alias("version"), F.lit(False).alias("deleted"))
+    gone = stream(spark, d, "labels", S.files_at_once).filter("toxic = 1").select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(1).alias("version"), F.lit(True).alias("deleted"))
+    for changes in (gone, added):
+        index.follow(changes, shared_path(spark, "stream"), availableNow=True).awaitTermination()
+    index.compact()
+    return ranking.bm25(index.open(), _questions(spark, d), S.k, S.k1, S.b)
+
+
 _QUERIES = [
     tokenize_docs, term_stats, chunk_docs, bm25_topk, tfidf_cosine_topk, dense_knn, rrf_fusion, mmr_rerank, grade_filter, dedup_exact,
     context_pack, chat_history, route_turn, build_prompt, extractive_answer, qrels, retrieval_eval, html_to_text, graph_run,
     phrase_search, proximity_search, bm25_pruned, rm3_topk, corrective_loop, near_spellings, merged_passages, sentence_answer, asof_events, interval_events,
+    streamed_bm25,
 ]
 
 
@@ -339,6 +354,10 @@ s AS (SELECT q.qid, a.doc_id, a.p, o.term, min(b.p) AS nearest FROM qt q JOIN po
 e AS (SELECT qid, doc_id, p, max(nearest) - p + 1 AS span FROM s GROUP BY qid, doc_id, p HAVING count(*) = (SELECT count(*) FROM qt WHERE qt.qid = s.qid))
 SELECT qid, doc_id, span, p AS first FROM e WHERE span <= 8 QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY span, p) = 1""",
         "bm25_pruned": f"WITH {_BM25} SELECT * FROM hits",
+        "streamed_bm25": f"""
+WITH {_Q}, kept AS (SELECT doc_id, arg_max(coalesce(text, ''), md5(coalesce(text, ''))) AS text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) GROUP BY doc_id),
+{_bm25("kept", "q", 10)}
+SELECT * FROM hits""",
         "rm3_topk": f"WITH {_BM25}, {_RM3} SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rk FROM es QUALIFY rk <= 10",
         "merged_passages": f"""
 WITH {_Q}, {_CHUNKS}, keyed AS (SELECT printf('%015d', doc_id) || '/' || printf('%09d', chunk_ix) AS key, chunk AS text FROM chunks),

@@ -23,6 +23,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def stream(spark: SparkSession, folder: str, name: str, files: int = 64) -> DataFrame:
+    """A table as a stream of its files, so many in a batch."""
+    return spark.readStream.schema(SCHEMAS[name]).option("maxFilesPerTrigger", files).parquet(f"{folder}/{name}.parquet")
+
+
 def read_documents(spark: SparkSession, path: str, format: str = "parquet", **options) -> DataFrame:
     """Documents from Parquet, ORC, JSON lines, CSV or plain text. Plain text
     is one document a file, numbered by a hash of its path."""

@@ -24,8 +24,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def stream(spark: SparkSession, folder: str, name: str, files: int = 64) -> DataFrame:
-    """A table as a stream of its files, so many in a batch."""
-    return spark.readStream.schema(SCHEMAS[name]).option("maxFilesPerTrigger", files).parquet(f"{folder}/{name}.parquet")
+    """A table as a stream of its files, so many in a batch. A stream takes a
+    path for a folder unless it is a pattern; this one fits a single file too."""
+    return spark.readStream.schema(SCHEMAS[name]).option("maxFilesPerTrigger", files).parquet(f"{folder}/{name}.parque[t]")
 
 
 def read_documents(spark: SparkSession, path: str, format: str = "parquet", **options) -> DataFrame:

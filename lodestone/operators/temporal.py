@@ -1,17 +1,19 @@
 """Joins by time: for each row the latest row of another table before it, and
-all points that lie within intervals.
+all points that lie within intervals; and sessions.
 
 Defined cases of the as-of join: rows without a key or a time find nothing; of
 right rows with one key and time the largest counts, by its columns in order;
 repeated left rows are given each; empty tables give no rows, or left rows that
 found nothing. Of the interval join: a bound or point that is null, or an
 interval that ends where it starts or before, meets nothing; an interval longer
-than a long is an error; repeated rows meet each; empty tables give no rows.
+than a long is an error; repeated rows meet each; empty tables give no rows. Of
+sessions: rows without a key or a time are in none; repeated rows count each; an
+empty table gives none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.sources.shared import written
@@ -66,3 +68,36 @@ def interval_join(intervals: DataFrame, points: DataFrame, start: str, stop: str
     spots = points.filter(F.col(at).isNotNull()).withColumn("level_", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("cell_", cell(f"`{at}`"))
     met = cells.join(spots, ["level_", "cell_"]).filter((F.col(start) <= F.col(at)) & (F.col(at) < F.col(stop)))
     return met.drop("level_", "cell_")
+
+
+def sessions(events: DataFrame, by: str, time: str, gap: int, told: list[Column], rows: int = RANGE) -> DataFrame:
+    """(by, start, stop, n, told): the rows of a key of which each comes at most
+    `gap` after the one before, as a session from its first time to its last
+    with the aggregates `told`. Times are whole numbers.
+
+    Rows are put in order by ranges of key, time and a random number, so a key
+    with a third of all rows is several ranges. A window finds the sessions
+    within a range; only the first one of a range's first key can go on from
+    the range before. Those are one row a range at most, so they are sent to all
+    tasks, and the aggregates are summed by Spark within the tasks first."""
+    salted = written(events.filter(F.col(by).isNotNull() & F.col(time).isNotNull()).withColumn("salt_", F.rand()), "events")
+    parts = max(-(-salted.count() // rows), salted.sparkSession.sparkContext.defaultParallelism)
+    order = [by, time, "salt_"]
+    ranged = salted.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("place_", F.monotonically_increasing_id())
+    ranged = ranged.withColumn("part_", F.shiftright("place_", 33).cast("int")).drop("salt_")
+    within = Window.partitionBy("part_", by).orderBy("place_")
+    opens = F.coalesce(F.col(time) - F.lag(time).over(within) > gap, F.lit(True))
+    marked = ranged.withColumn("opens_", F.when(opens, F.col(time)))
+    marked = written(marked.withColumn("start_", F.last("opens_", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0))), "marked")
+    # keys of several ranges: where the first session of each range begins
+    ends = marked.groupBy(by, "part_").agg(F.min(time).alias("first"), F.max(time).alias("last"), F.max("opens_").alias("latest"))
+    several = ends.join(ends.groupBy(by).agg(F.count("*").alias("ranges")).filter("ranges > 1"), by)
+    along = Window.partitionBy(by).orderBy("part_")
+    goes_on = F.coalesce(F.col("first") - F.lag("last").over(along) <= gap, F.lit(False))
+    # the start of a range's last session, where the range itself tells it
+    own = F.when((F.col("latest") > F.col("first")) | ~F.col("goes_on"), F.col("latest"))
+    chained = several.withColumn("goes_on", goes_on).withColumn("own", own)
+    moved = chained.withColumn("begun_", F.last("own", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))).filter("goes_on")
+    moved = moved.select(by, "part_", F.col("first").alias("start_"), "begun_")
+    whole = marked.join(F.broadcast(moved), [by, "part_", "start_"], "left").withColumn("start", F.coalesce("begun_", "start_"))
+    return whole.groupBy(by, "start").agg(F.max(time).alias("stop"), F.count("*").alias("n"), *told)

@@ -220,6 +220,14 @@ def interval_events(spark, d):
     return met.groupBy("error_id").agg(F.count("*").alias("purchases"), F.min("event_id").alias("first_id"), F.round(F.sum("value"), 4).alias("total"))
 
 
+def event_sessions(spark, d):
+    """Each user's sessions, which half a day without an event ends."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    events = table(spark, d, "events").select("user_id", micros.alias("at"), "value")
+    made = temporal.sessions(events, "user_id", "at", S.pause * 1_000_000, [F.round(F.sum("value"), 4).alias("total")])
+    return made.select("user_id", F.col("start").alias("start_us"), F.col("stop").alias("stop_us"), "n", "total")
+
+
 def streamed_bm25(spark, d):
     """BM25 on an index that two streams have filled: the documents, and the
     withdrawals of those that are labelled toxic."""
@@ -236,7 +244,7 @@ _QUERIES = [
     tokenize_docs, term_stats, chunk_docs, bm25_topk, tfidf_cosine_topk, dense_knn, rrf_fusion, mmr_rerank, grade_filter, dedup_exact,
     context_pack, chat_history, route_turn, build_prompt, extractive_answer, qrels, retrieval_eval, html_to_text, graph_run,
     phrase_search, proximity_search, bm25_pruned, rm3_topk, corrective_loop, near_spellings, merged_passages, sentence_answer, asof_events, interval_events,
-    streamed_bm25,
+    event_sessions, streamed_bm25,
 ]
 
 
@@ -373,6 +381,11 @@ SELECT p.event_id, p.user_id, p.value, c.click_id, c.click_value FROM (SELECT *
         "interval_events": """
 SELECT e.event_id AS error_id, count(*) AS purchases, min(p.event_id) AS first_id, round(sum(p.value), 4) AS total
 FROM events e JOIN events p ON e.event_type = 'error' AND p.event_type = 'purchase' AND p.ts >= e.ts AND p.ts < e.ts + INTERVAL 10 MINUTE GROUP BY e.event_id""",
+        "event_sessions": """
+WITH e AS (SELECT user_id, epoch_us(ts) AS t, value FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+m AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 43200000000 THEN 0 ELSE 1 END AS opens FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM m)
+SELECT user_id, min(t) AS start_us, max(t) AS stop_us, count(*) AS n, round(sum(value), 4) AS total FROM g GROUP BY user_id, g""",
         "qrels": f"WITH {_QRELS} SELECT * FROM rel",
         "retrieval_eval": f"""
 WITH {_BM25}, {_QRELS},

@@ -16,7 +16,8 @@ class Settings:
     expansion and own: hits and terms of a relevance model, and the question's
     share in it; enough and retrievals: the share of a question's words that an
     answer holds, and retrievals until it is given up; edits and spellings: of
-    a word that no document holds; files_at_once: of a stream's batch."""
+    a word that no document holds; files_at_once: of a stream's batch; pause:
+    seconds that end a session."""
 
     k: int = 10
     k1: float = 1.2
@@ -38,6 +39,7 @@ class Settings:
     edits: int = 1
     spellings: int = 3
     files_at_once: int = 64
+    pause: int = 43_200
 
     @classmethod
     def load(cls, path: str) -> Settings:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import tokens
 from lodestone.operators.terms import Index
 
+#: Terms of queries up to which they are sent to all tasks.
+SMALL = 100_000
 
 def top_k(scored: DataFrame, k: int, digits: int = 6, doc: str = "doc_id") -> DataFrame:
     """The k best of each query; Spark limits each task's groups to k rows
@@ -34,13 +36,16 @@ def bm25(index: Index, queries: DataFrame, k: int = 10, k1: float = 1.2, b: floa
     """Okapi BM25 (Robertson and Zaragoza 2009), idf = ln(1 + (N - df + .5) / (df + .5)).
 
     Only postings of terms that some query holds leave the index's scan, so
-    what is shuffled follows the queries' terms and not the vocabulary."""
+    what is shuffled follows the queries' terms and not the vocabulary. Where
+    they are few, they are sent to all tasks, and no posting is shuffled before
+    its document's terms are added up."""
     terms = query_terms(queries)
-    found = index.postings().join(terms.select("term").distinct(), "term", "left_semi")
+    sent = F.broadcast if terms.limit(SMALL + 1).count() <= SMALL else lambda df: df
+    found = index.postings().join(sent(terms.select("term").distinct()), "term", "left_semi")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     weighted = terms.join(df, "term").select("qid", "term", F.log(1 + (index.n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(index.mean or 1.0)))
-    scores = found.join(weighted, "term").groupBy("qid", index.id).agg(F.sum(part).alias("score"))
+    scores = found.join(sent(weighted), "term").groupBy("qid", index.id).agg(F.sum(part).alias("score"))
     return top_k(scores, k, doc=index.id)
 
 

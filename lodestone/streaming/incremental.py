@@ -27,8 +27,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.functions.text import term_counts, tokens
 from lodestone.operators.terms import Index, spread
-from lodestone.sources.shared import shared_path
+from lodestone.sources.shared import shared_path, written
 
+#: Rows that have lost up to which their places are sent to all tasks.
+SMALL = 200_000
 ROWS = "doc_id bigint, version bigint, deleted boolean, digest string, place bigint, dl bigint, terms array<struct<term: string, tf: bigint>>"
 LOG = "segment string, retired array<string>, floor bigint"
 LOWEST = -(1 << 63)
@@ -97,8 +99,9 @@ class SegmentedIndex:
         order = F.struct("version", "deleted", "digest", "segment", "place")
         heads = rows.select("doc_id", order.alias("order"))
         several = heads.groupBy("doc_id").agg(F.max("order").alias("best"), F.count("*").alias("n")).filter("n > 1").select("doc_id", "best")
-        lost = heads.join(several, "doc_id").filter("order < best").select("order.segment", "order.place")
-        return rows.join(lost, ["segment", "place"], "left_anti"), segments, floor
+        lost = written(heads.join(several, "doc_id").filter("order < best").select("order.segment", "order.place"), "lost")
+        few = lost.limit(SMALL + 1).count() <= SMALL  # so no row that counts is shuffled
+        return rows.join(F.broadcast(lost) if few else lost, ["segment", "place"], "left_anti"), segments, floor
 
     def open(self) -> Index:
         """What the rankers read, as the index is now."""
@@ -112,6 +115,6 @@ class SegmentedIndex:
         if forget is not None:
             floor = max(floor, forget)
             rows = rows.filter(~F.col("deleted") | (F.col("version") >= floor))
-        whole = rows.drop("segment", "place").hint("rebalance")  # files of an even size
-        whole = whole.select("doc_id", "version", "deleted", "digest", F.monotonically_increasing_id().alias("place"), "dl", "terms")
+        # a scan packs small files into tasks of an even size, and each writes one
+        whole = rows.select("doc_id", "version", "deleted", "digest", F.monotonically_increasing_id().alias("place"), "dl", "terms")
         self._write(whole, segments, floor if floor > LOWEST else None)

@@ -18,5 +18,5 @@ def test_entry_without_the_corpus_operators(tmp_path, gone):
     done = subprocess.run([sys.executable, "-B", "-c", SHOW], cwd=tmp_path / "copy", env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
     queries, sql = (line.split() for line in done.stdout.splitlines())
-    assert len(queries) == 29 and len(sql) == 25 and "bm25_topk" in queries
+    assert len(queries) == 31 and len(sql) == 27 and "bm25_topk" in queries
     assert not any(q.startswith("op") or q == "pipeline" for q in queries)

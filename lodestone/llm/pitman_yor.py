@@ -13,9 +13,11 @@ A customer leaves, and closes a table with the probability S(c-1, t-1) / S(c, t)
 of generalized Stirling numbers; then sits down again, at a new table with a
 weight of (strength + discount * tables of the room) * probability in the
 parent, else at an old one with c - 1 - discount * t. New tables are customers
-of the parent. In a sweep each dish of each room re-seats MOVES of its customers
-or all, picked at random. At first, customers come in and sit down one by one,
-and past 16 in groups. The averaged predictive probabilities of the last
+of the parent. A sweep has as many such moves for each dish of each room as it
+has customers, each of a customer picked at random. At first, customers come in
+and sit down one by one, as do those that a parent gets or loses. Moves that
+change no number of tables are passed over by the law of how many there are, so
+the work goes by tables. The averaged predictive probabilities of the last
 round's sweeps score the texts.
 
 Words are dealt to buckets by hash, so all rooms' tables for a word, and their
@@ -41,6 +43,7 @@ sums, are told apart by 64-bit hashes; an empty table gives an empty table; extr
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -68,6 +71,8 @@ CHUNK, BUCKET_BYTES = 1 << 20, 4 << 20
 HINT, HINT_SHARE, LEAST_SEEN, LEAST_SHARE, HINT_SEED = 2000, 1e-4, 32, 1 / 4096, 9
 #: Customers up to which closing a table has its exact probability.
 EXACT = 256
+#: Lines of the grid beyond: for a doubling of the customers, and across the tables.
+FINE, ACROSS = 2, 256
 END = np.uint64(xxhash.xxh64_intdigest(b"", 42))
 
 
@@ -111,14 +116,141 @@ def closing_table(discount: float, most: int = EXACT) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=8)
+def closing_grid(discount: float, octaves: int) -> np.ndarray:
+    """[i, j]: the same probability, over discount * (t - 1) / c, at
+    c = EXACT * 2 ** (i / FINE) and t = c ** (j / ACROSS), i below octaves * FINE.
+
+    S(c, t) is c! / (t! d ** t) times the coefficient of x ** c in f(x) ** t, f(x) =
+    1 - (1 - x) ** d. So the probability is t d / c times the mean of x / f over
+    f ** t * x ** (-c - 1) on a path around the cut from 1. The path is a parabola of
+    1 - x through the saddle point, or 1 / c, and its steps grow as sinh."""
+    log_c = np.log(EXACT) + np.log(2) * np.arange(octaves * FINE + 1)[:, None, None] / FINE
+    c = np.exp(log_c)
+    t = np.clip(np.exp(log_c * np.arange(ACROSS + 1)[:, None] / ACROSS), 1 + 1e-5, c * (1 - 1e-9))
+    low, high = np.full(t.shape, -40.0), np.full(t.shape, 400.0)  # logit of the saddle's x, by bisection
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        for _ in range(60):
+            y = (low + high) / 2
+            log_z = -np.logaddexp(0, y)
+            up = np.exp(np.log(discount) + (discount - 1) * log_z - np.logaddexp(0, -y)) / -np.expm1(discount * log_z) < c / t
+            low, high = np.where(up, y, low), np.where(up, high, y)
+        log_z = np.maximum(-np.logaddexp(0, low), -log_c)
+        z, f = np.exp(log_z), -np.expm1(discount * log_z)
+        x, slope = -np.expm1(log_z), discount * np.exp((discount - 1) * log_z)
+        bend = t * (discount * (1 - discount) * np.exp((discount - 2) * log_z) / f - (slope / f) ** 2) + c / x**2
+        u = np.minimum(1, 1 / (2 * z * np.sqrt(np.abs(bend)))) * np.sinh(np.linspace(0, 11, 221))
+        log_1u = np.log(1 + 1j * u)
+        log_z = log_z + 2 * log_1u
+        x, f = -np.expm1(log_z), -np.expm1(discount * log_z)
+        w = t * np.log(f) - (c + 1) * np.log(x) + log_1u
+        w = np.exp(w - w[..., :1]) * np.cosh(np.linspace(0, 11, 221))
+        w = np.where(np.isfinite(w), w, 0)
+        w[..., 0] /= 2
+        ratio = np.where(w == 0, 0, w * x / f).sum(axis=-1).real / w.sum(axis=-1).real
+    t, c = t[..., 0], c[..., 0]
+    return t / (t - 1) * ratio
+
+
 class Dishes:
-    """The dishes of all rooms of a level, in one bucket."""
+    """The dishes of all rooms of a level, in one bucket. Customers sit down,
+    leave and change seats one by one; steps in which no table opens or closes
+    are passed over together, by the law of their number."""
 
     def __init__(self, rooms, words, parents, keys, discount: float):
         self.rooms, self.words, self.parents, self.keys = rooms, words, parents, keys
         self.discount, self.closing = discount, closing_table(discount)
         self.c, self.t = np.zeros(len(rooms)), np.zeros(len(rooms))
 
+    def closes(self, c, t):
+        """The probability that one who leaves closes a table: beyond EXACT
+        customers by cubic interpolation in closing_grid."""
+        small = c <= EXACT
+        out = self.closing[np.where(small, c, 0).astype(int), np.where(small, t, 0).astype(int)]
+        large = np.flatnonzero(~small)
+        if len(large):
+            c, t = c[large], t[large]
+            log_c = np.log(c)
+            grid = closing_grid(self.discount, max(8, 4 * math.ceil(math.log2(c.max() / EXACT) / 4)))
+            (i, x), (j, y) = (self._cubic(v, n) for v, n in ((np.log2(c / EXACT) * FINE, len(grid)), (np.log(np.maximum(t, 1)) / log_c * ACROSS, ACROSS + 1)))
+            g = sum(x[a] * y[b] * grid[i + a, j + b] for a in range(4) for b in range(4))
+            out[large] = np.where(t == c, 1.0, np.clip(g * self.discount * (t - 1) / c, 0, 1))
+        return out
+
+    @staticmethod
+    def _cubic(at: np.ndarray, n: int):
+        """The first of the four grid lines around a place, and their weights."""
+        first = np.clip(at.astype(int) - 1, 0, n - 4)
+        x = at - first
+        return first, (-(x - 1) * (x - 2) * (x - 3) / 6, x * (x - 2) * (x - 3) / 2, -x * (x - 1) * (x - 3) / 2, x * (x - 1) * (x - 2) / 6)
+
+    def _passed(self, p: np.ndarray, at: np.ndarray, sweep: int, step: int) -> np.ndarray:
+        """Steps before the first that happens, each with the probability p."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(p > 0, np.floor(np.log1p(-uniform(self.keys[at], sweep, step)) / np.log1p(-p)), np.inf)
+
+    def resize(self, customers: np.ndarray, new_table: np.ndarray, sweep: int) -> None:
+        """Customers come or go, one by one, until each dish has the given
+        number; new_table: the weight of a new table.
+
+        One who comes opens a table with the probability new_table / (new_table +
+        c - discount * t), which falls as they come; one who goes closes one with
+        closes(c, t), which rises as they go. So the next who may is drawn by the
+        largest probability ahead, and does by the ratio of the two."""
+        first = (self.c == 0) & (customers > 0)
+        self.c[first] = self.t[first] = 1
+        self._come(np.flatnonzero(self.c < customers), customers, new_table, sweep)
+        self._go(np.flatnonzero(self.c > customers), customers, sweep)
+
+    def _come(self, at: np.ndarray, customers: np.ndarray, new_table: np.ndarray, sweep: int) -> None:
+        step = 0
+        while len(at):
+            c, t, a = self.c[at], self.t[at], new_table[at]
+            most = a / (a + c - self.discount * t)
+            c = c + self._passed(most, at, sweep, step)
+            opens = uniform(self.keys[at], sweep, step + 1) * most < a / (a + c - self.discount * t)
+            self.t[at] = t + (opens & (c < customers[at]))
+            self.c[at] = c = np.minimum(c + 1, customers[at])
+            at, step = at[c < customers[at]], step + 2
+
+    def _go(self, at: np.ndarray, customers: np.ndarray, sweep: int) -> None:
+        step = 0
+        while len(at):
+            c, t = self.c[at], self.t[at]
+            ahead = np.minimum(np.minimum(c - customers[at], np.maximum(1, c // 8)), c - t + 1)
+            most = self.closes(c - ahead + 1, t)
+            passed = self._passed(most, at, sweep, step)
+            some = passed < ahead
+            c = c - np.minimum(passed, ahead - 1)
+            closes = uniform(self.keys[at], sweep, step + 1) * most < self.closes(c, t)
+            self.t[at] = t - (some & closes)
+            self.c[at] = c = c - 1
+            at, step = at[c > customers[at]], step + 2
+
+    def sweep(self, new_table: np.ndarray, sweep: int) -> None:
+        """As often as a dish has customers, one of them, picked at random,
+        leaves and sits down again."""
+        at = np.flatnonzero(self.c > 1)
+        left, step = self.c[at], 0
+        while len(at):
+            c, t, a = self.c[at], self.t[at], new_table[at]
+            closes = self.closes(c, t)
+            up = (1 - closes) * a / (a + c - 1 - self.discount * t)
+            down = closes * (1 - a / (a + c - 1 - self.discount * (t - 1)))
+            passed = self._passed(up + down, at, sweep, step)
+            change = np.where(uniform(self.keys[at], sweep, step + 1) * (up + down) < up, 1, -1)
+            self.t[at] = t + np.where(passed < left, change, 0)
+            left = left - passed - 1
+            some = left > 0
+            at, left, step = at[some], left[some], step + 2
+
+
+class GroupedDishes(Dishes):
+    """A coarser way that no query takes: customers beyond 16 of a dish come and
+    go in groups, a sweep re-seats MOVES of them at most, and closing a table
+    beyond EXACT customers follows Sibuya's law. It is what the plain sampler of
+    the first tests states."""
+
     def closes(self, c, t):
         """The probability that one who leaves closes a table. Beyond EXACT
         customers one table has nearly all of them and the others are as large
@@ -175,7 +307,7 @@ class Rules(NamedTuple):
 class Seating:
     """The three levels of a bucket's words, as sampled so far."""
 
-    def __init__(self, words: np.ndarray, pair_word: np.ndarray, rooms: np.ndarray, counts: np.ndarray, rules: Rules):
+    def __init__(self, words: np.ndarray, pair_word: np.ndarray, rooms: np.ndarray, counts: np.ndarray, rules: Rules, dishes: type[Dishes] = GroupedDishes):
         self.counts = counts.astype(float)
         ending, which = np.unique(pair_word.astype(np.int64) * ENDINGS + rooms // INNER, return_inverse=True)
         which, pair_word, rooms = (x.astype(np.int32) for x in (which, pair_word, rooms))
@@ -183,9 +315,9 @@ class Seating:
         w1, r1 = (x.astype(np.int32) for x in np.divmod(ending, ENDINGS))
         w0, r0 = np.arange(len(words), dtype=np.int32), np.zeros(len(words), np.int32)
         self.levels = [
-            Dishes(r0, w0, None, key(w0, r0, 0), rules.discounts[0]),
-            Dishes(r1, w1, w1, key(w1, r1, 1), rules.discounts[1]),
-            Dishes(rooms, pair_word, which, key(pair_word, rooms, 2), rules.discounts[2]),
+            dishes(r0, w0, None, key(w0, r0, 0), rules.discounts[0]),
+            dishes(r1, w1, w1, key(w1, r1, 1), rules.discounts[1]),
+            dishes(rooms, pair_word, which, key(pair_word, rooms, 2), rules.discounts[2]),
         ]
         known = np.bincount(pair_word, self.counts, len(words)) > 0
         self.base = np.where(known, (1 - UNKNOWN) / max(1, rules.vocabulary), UNKNOWN)
@@ -411,7 +543,7 @@ def with_sums(dealt: DataFrame, hot: dict[int, tuple[int, int]]) -> DataFrame:
 
 def _seating(row, rules: Rules) -> Seating:
     words = unpacked(row["words"], "u8")
-    return Seating(words, np.repeat(np.arange(len(words)), unpacked(row["kinds"], "i4")), unpacked(row["rooms"], "i4").astype(np.int64), unpacked(row["counts"], "i8"), rules)
+    return Seating(words, np.repeat(np.arange(len(words)), unpacked(row["kinds"], "i4")), unpacked(row["rooms"], "i4").astype(np.int64), unpacked(row["counts"], "i8"), rules, Dishes)
 
 
 TOLD_COLUMNS = ["state", "level", "slice", "rooms", "customers", "tables", "ones", "twos"]

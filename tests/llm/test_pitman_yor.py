@@ -257,3 +257,54 @@ def test_seating_equals_a_plain_sampler():
 def test_packed_numbers_come_back():
     for values, kind in ((np.arange(1000) * 7 - 50, "i8"), (np.zeros(0), "i4"), (np.array([2**64 - 1], np.uint64), "u8")):
         assert (py.unpacked(py.packed(values, kind), kind) == values).all()
+
+
+def test_closing_a_table_of_many_customers():
+    for d in (0.3, 0.6, 0.9):
+        table, c = py.closing_table(d, 1500), 1400
+        t = np.arange(1, c + 1)
+        got = dishes([c], d).closes(np.full(c, float(c)), t.astype(float))
+        assert np.abs(got - table[c, 1 : c + 1]).max() < 5e-4 and np.median(np.abs(got[1:] / table[c, 2 : c + 1] - 1)) < 1e-5
+
+
+def came_one_by_one(d, a, customers):
+    """The law of the tables of a dish whose customers come one by one."""
+    p = np.zeros(customers + 1)
+    p[1], t = 1, np.arange(customers + 1)
+    for c in range(1, customers):
+        opens = np.where(p > 0, a / (a + c - d * t), 0)
+        p = p * (1 - opens) + np.append(0, (p * opens)[:-1])
+    return p
+
+
+def test_many_customers_come_and_go_one_by_one():
+    d, a, n, c, fewer = 0.6, 30.0, 20_000, 400, 150
+    rows = dishes([0] * n, d)
+    rows.t[:] = 0
+    rows.resize(np.full(n, float(c)), np.full(n, a), 1)
+    want = came_one_by_one(d, a, c)
+    assert np.abs(np.bincount(rows.t.astype(int), minlength=c + 1) / n - want).max() < 0.01
+    rows.resize(np.full(n, float(fewer)), np.full(n, a), 2)
+    table = py.closing_table(d, c)
+    for k in range(c, fewer, -1):
+        want = want * (1 - table[k, : c + 1]) + np.append((want * table[k, : c + 1])[1:], 0)
+    assert np.abs(np.bincount(rows.t.astype(int), minlength=c + 1) / n - want).max() < 0.01
+    assert (rows.c == fewer).all()
+
+
+def test_a_sweep_moves_as_many_customers_as_a_dish_has():
+    d, a, n, c = 0.6, 30.0, 20_000, 400
+    rows = dishes([c] * n, d)
+    rows.sweep(np.full(n, a), 3)
+    closes, t, want = py.closing_table(d, c)[c], np.arange(c + 1), np.eye(c + 1)[1]
+    for _ in range(c):
+        opens = np.where(t <= c, a / (a + c - 1 - d * t), 0)
+        up, down = want * (1 - closes) * opens, want * closes * (1 - np.append(0, opens[:-1]))
+        want = want - up - down + np.append(0, up[:-1]) + np.append(down[1:], 0)
+    assert np.abs(np.bincount(rows.t.astype(int), minlength=c + 1) / n - want).max() < 0.01
+
+
+def test_the_query_seats_one_by_one():
+    words, pair_word, room, counts = toy()
+    row = {"words": py.packed(words, "u8"), "kinds": py.packed(np.bincount(pair_word), "i4"), "rooms": py.packed(room, "i4"), "counts": py.packed(counts, "i8")}
+    assert all(type(d) is py.Dishes for d in py._seating(row, RULES).levels)

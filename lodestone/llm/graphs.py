@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import written
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, name: str = "components", rows: int | None = None) -> DataFrame:
     """(node, root) for every node of edges (a, b: long); the root is the
     smallest node that can be reached.
 
@@ -17,8 +17,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     partial sums, so a node with very many neighbours is no task of its own.
     Every round is written to the shared folder, which cuts the lineage. Edges
     from a node to itself are left out; an empty graph gives no rows.
+    rows: about how many edges there are, for the first round's files.
     """
-    now = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), name)
+    now = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), name, rows)
     mark = None
     while True:
         # large star: every neighbour above a node moves to the node's minimum
@@ -28,7 +29,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         # small star: a node and its smaller neighbours move to their minimum
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).union(low.select(F.col("m").alias("a"), "b"))
-        now = written(small.filter("a < b").distinct(), name)
+        now = written(small.filter("a < b").distinct(), name, mark[0] if mark and rows is not None else rows)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break

@@ -330,8 +330,9 @@ def confirmed(prints: np.ndarray, sets: list[np.ndarray], radius: int, similarit
     return left, right
 
 
-def confirmed_links(docs: DataFrame, classes: DataFrame, id: str, text: str, size: int, similarity: float, width: int, radius: int, part_bytes: int = PART) -> DataFrame:
-    """Links (a, b) of nodes with the components of all confirmed pairs.
+def confirmed_links(docs: DataFrame, classes: DataFrame, id: str, text: str, size: int, similarity: float, width: int, radius: int, part_bytes: int = PART, rows: int | None = None) -> DataFrame:
+    """Links (a, b) of nodes with the components of all confirmed pairs; rows:
+    about how many rows classes has.
 
     The tiles propose components; sets of a size ratio below the similarity
     cannot be similar, so tiles are of bands of sizes, and only neighbours meet.
@@ -342,13 +343,13 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, id: str, text: str, siz
     """
     # 0.999: a hair narrower, so that rounding parts no pair
     band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / float(-np.log(similarity * 0.999)))
-    roots = components(fingerprint_links(classes, radius, width, part=band, reach=1), "proposed")
+    roots = components(fingerprint_links(classes, radius, width, part=band, reach=1), "proposed", rows)
     flag = fresh_name(docs, "proposed")
     ids = classes.join(roots, "node", "left_semi").select(F.col("least").alias("id"))
     members = sieve(ids, docs, id, flag).filter(flag).select(set_columns(F.col(text), size, width, True).alias("set"))
     # written first: a filter on the node would be pushed below the function
     members = written(members.select("set.fp", "set.node", "set.hashes"), "members").join(roots, "node").dropDuplicates(["node"])
-    members = written(members, "members")
+    members = written(members, "members", rows)
     whole = members.agg(F.sum(F.octet_length("hashes").cast("long"))).first()[0] or 0
     parts = members.groupBy("root").agg(F.ceil(F.sum(F.octet_length("hashes").cast("long") + 64) / part_bytes).cast("int").alias("parts"))
     group = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root"), F.lit(whole // part_bytes + 8))).otherwise(F.col("root"))
@@ -389,11 +390,12 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int
     """
     prints = docs.select(F.col(id).alias("id"), set_columns(F.col(text), size, width, False).alias("print"))
     prints = written(prints.select("id", "print.fp", "print.node", "print.ones", "print.n"), "prints")
-    rows = written(prints.groupBy("id", "node").agg(F.count("*").alias("copies"), F.min("fp").alias("fp"), F.min("ones").alias("ones"), F.min("n").alias("n")), "rows")
+    many = prints.count()
+    rows = written(prints.groupBy("id", "node").agg(F.count("*").alias("copies"), F.min("fp").alias("fp"), F.min("ones").alias("ones"), F.min("n").alias("n")), "rows", many)
     classes = rows.groupBy("node").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.min("ones").alias("ones"), F.min("n").alias("n"))
-    links = confirmed_links(docs, classes, id, text, size, similarity, width, radius_for(similarity, width) + slack, part_bytes)
-    named = rows.select("id", "node", "copies").join(components(links), "node", "left").select("id", "node", "copies", F.coalesce("root", "node").alias("root"))
-    named = written(named, "named")
+    links = confirmed_links(docs, classes, id, text, size, similarity, width, radius_for(similarity, width) + slack, part_bytes, many)
+    named = rows.select("id", "node", "copies").join(components(links, rows=many), "node", "left").select("id", "node", "copies", F.coalesce("root", "node").alias("root"))
+    named = written(named, "named", many)
     kept = named.groupBy("root").agg(F.min(F.struct("id", "node")).alias("kept"))
     kept = kept.select(F.col("kept.id").alias("kept_id"), F.col("kept.node").alias("kept_node"))
     # rows that go, and such as repeat

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 import test_mixing
 import test_simhash
-from lodestone.llm import mixing, packing, pii, quality
+from lodestone.llm import graphs, mixing, packing, pii, quality
 
 
 def test_stages_are_those_of_the_plan():
@@ -69,3 +69,27 @@ def test_rows_equal_a_plain_version(spark, sf):
 def test_empty_documents(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_small_tables_are_few_files_and_batches_are_small(spark, sf, monkeypatch):
+    files, plain = [], graphs.written
+
+    def told(*args):
+        out = plain(*args)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(graphs, "written", told)
+    keys = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "10000"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        texts = [" ".join(f"w{i // 2}x{k}" for k in range(40)) + f" end{i}" for i in range(400)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+        assert corpus_pipeline.near_duplicates(spark, docs, sf).count() == 200
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+        assert files and max(files) <= spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

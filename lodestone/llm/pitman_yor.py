@@ -73,6 +73,8 @@ HINT, HINT_SHARE, LEAST_SEEN, LEAST_SHARE, HINT_SEED = 2000, 1e-4, 32, 1 / 4096,
 EXACT = 256
 #: Lines of the grid beyond: for a doubling of the customers, and across the tables.
 FINE, ACROSS = 2, 256
+#: Expected events from which a dish is sampled by itself; events drawn ahead for it.
+LONG, AHEAD = 40, 128
 END = np.uint64(xxhash.xxh64_intdigest(b"", 42))
 
 
@@ -92,6 +94,12 @@ def uniform(keys: np.ndarray, sweep: int, step: int) -> np.ndarray:
     return (mixed(keys + np.uint64((sweep * 1_000_003 + step + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(11)) / float(1 << 53)
 
 
+def uniforms(key: np.uint64, sweep: int, step: int, n: int) -> np.ndarray:
+    """The same of one key, for n steps from step on."""
+    steps = np.arange(step, step + n, dtype=np.uint64) + np.uint64(sweep * 1_000_003 + 1)
+    return (mixed(key + steps * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)) / float(1 << 53)
+
+
 def discount_of(n1: float, n2: float) -> float:
     """From the numbers of dishes with one and with two customers."""
     return float(np.clip(n1 / (n1 + 2 * n2), 0.05, 0.95)) if n1 + n2 else 0.5
@@ -203,7 +211,11 @@ class Dishes:
         self._go(np.flatnonzero(self.c > customers), customers, sweep)
 
     def _come(self, at: np.ndarray, customers: np.ndarray, new_table: np.ndarray, sweep: int) -> None:
-        step = 0
+        a, step = new_table[at], 0
+        long = a * np.log1p((customers[at] - self.c[at]) / (a + self.c[at])) > LONG
+        for k in at[long]:
+            self._come_to_one(k, float(customers[k]), float(new_table[k]), sweep)
+        at = at[~long]
         while len(at):
             c, t, a = self.c[at], self.t[at], new_table[at]
             most = a / (a + c - self.discount * t)
@@ -213,6 +225,22 @@ class Dishes:
             self.c[at] = c = np.minimum(c + 1, customers[at])
             at, step = at[c < customers[at]], step + 2
 
+    def _come_to_one(self, k: int, goal: float, a: float, sweep: int) -> None:
+        """_come for a dish of many tables: plain numbers are quicker there."""
+        c, t, d, step = float(self.c[k]), float(self.t[k]), self.discount, 0
+        while c < goal:
+            u = uniforms(self.keys[k], sweep, step, 2 * AHEAD)
+            for passed, opens in zip(np.log1p(-u[::2]).tolist(), u[1::2].tolist()):
+                most = a / (a + c - d * t)
+                c += math.floor(passed / math.log1p(-most)) if most < 1 else 0
+                if c < goal and opens * most < a / (a + c - d * t):
+                    t += 1
+                c = min(c + 1, goal)
+                if c == goal:
+                    break
+            step += 2 * AHEAD
+        self.c[k], self.t[k] = c, t
+
     def _go(self, at: np.ndarray, customers: np.ndarray, sweep: int) -> None:
         step = 0
         while len(at):
@@ -231,12 +259,15 @@ class Dishes:
         """As often as a dish has customers, one of them, picked at random,
         leaves and sits down again."""
         at = np.flatnonzero(self.c > 1)
+        up, down = self._changes(self.c[at], self.t[at], new_table[at])
+        long = (up + down) * self.c[at] > LONG
+        for k in at[long]:
+            self._sweep_one(k, float(new_table[k]), sweep)
+        at = at[~long]
         left, step = self.c[at], 0
         while len(at):
-            c, t, a = self.c[at], self.t[at], new_table[at]
-            closes = self.closes(c, t)
-            up = (1 - closes) * a / (a + c - 1 - self.discount * t)
-            down = closes * (1 - a / (a + c - 1 - self.discount * (t - 1)))
+            t = self.t[at]
+            up, down = self._changes(self.c[at], t, new_table[at])
             passed = self._passed(up + down, at, sweep, step)
             change = np.where(uniform(self.keys[at], sweep, step + 1) * (up + down) < up, 1, -1)
             self.t[at] = t + np.where(passed < left, change, 0)
@@ -244,6 +275,36 @@ class Dishes:
             some = left > 0
             at, left, step = at[some], left[some], step + 2
 
+    def _changes(self, c, t, a):
+        """The probabilities that a move adds a table, and that it takes one."""
+        closes = self.closes(c, t)
+        rest = c - 1 - self.discount * t
+        return (1 - closes) * a / (a + rest), closes * (1 - a / (a + rest + self.discount))
+
+    def _sweep_one(self, k: int, a: float, sweep: int) -> None:
+        """sweep for a dish of many changes, with their probabilities told for
+        the numbers of tables around."""
+        c, t, step = float(self.c[k]), int(self.t[k]), 0
+        left, low, p = c, 0, []
+        while left > 0:
+            u = uniforms(self.keys[k], sweep, step, 2 * AHEAD)
+            for passed, which in zip(np.log1p(-u[::2]).tolist(), u[1::2].tolist()):
+                if not 0 <= t - low < len(p):
+                    low = max(1, t - AHEAD // 2)
+                    near = np.arange(low, min(c, t + AHEAD // 2) + 1)
+                    up, down = self._changes(np.full(len(near), c), near, a)
+                    with np.errstate(divide="ignore"):
+                        p, up, logs = (up + down).tolist(), up.tolist(), np.log1p(-(up + down)).tolist()
+                at = t - low
+                passed = math.floor(passed / logs[at]) if logs[at] else left
+                if passed < left:
+                    t += 1 if which * p[at] < up[at] else -1
+                left -= passed + 1
+                if left <= 0:
+                    break
+            step += 2 * AHEAD
+        self.t[k] = t
+
 
 class GroupedDishes(Dishes):
     """A coarser way that no query takes: customers beyond 16 of a dish come and

@@ -308,3 +308,17 @@ def test_the_query_seats_one_by_one():
     words, pair_word, room, counts = toy()
     row = {"words": py.packed(words, "u8"), "kinds": py.packed(np.bincount(pair_word), "i4"), "rooms": py.packed(room, "i4"), "counts": py.packed(counts, "i8")}
     assert all(type(d) is py.Dishes for d in py._seating(row, RULES).levels)
+
+
+def test_dishes_by_themselves_are_sampled_alike(monkeypatch):
+    draw, n, out = np.random.default_rng(1), 40, []
+    goal, a = np.floor(np.exp(draw.uniform(0, 8, n))), np.exp(draw.uniform(0, 6, n))
+    for long in (math.inf, 0):
+        monkeypatch.setattr(py, "LONG", long)
+        rows = dishes([0] * n, 0.7)
+        rows.t[:] = 0
+        rows.resize(goal, a, 0)
+        rows.sweep(a, 1)
+        rows.resize(goal // 2, a, 2)
+        out.append(rows.t)
+    assert (out[0] == out[1]).all() and (out[0] <= goal // 2).all()

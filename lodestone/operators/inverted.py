@@ -236,24 +236,29 @@ def _rows(table: pa.Table, columns: tuple[str, ...]) -> Iterator[dict]:
         yield {c: v[i] for c, v in plain.items()} | {c: numbers(np.frombuffer(a[i].as_buffer(), np.uint8)) for c, a in arrays.items()}
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[tuple[np.ndarray, np.ndarray], float]:
-    """The k best ids, and those that rounding to six digits may put among them;
-    of equal scores only the k smallest ids. Also the k-th best score."""
+def leading(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, float]:
+    """The places of the k best ids, and those that rounding to six digits may
+    put among them; of equal scores only the k smallest ids. Also the k-th best
+    score."""
     order = np.lexsort((-scores, ids))
+    order = order[np.append(True, ids[order][1:] != ids[order][:-1])[: len(order)]]
     ids, scores = ids[order], scores[order]
-    first = np.append(True, ids[1:] != ids[:-1])
-    ids, scores = ids[first], scores[first]
     if len(ids) < k:
-        return (ids, scores), -np.inf
+        return order, -np.inf
     kth = float(np.partition(scores, len(scores) - k)[len(scores) - k])
     near = scores >= kth - 2e-6
-    ids, scores = ids[near], scores[near]
-    even = np.round(scores, 9)  # sums of equal terms may differ in their last bits
-    order = np.lexsort((ids, -even))
-    even = even[order]
+    order, ids = order[near], ids[near]
+    even = np.round(scores[near], 9)  # sums of equal terms may differ in their last bits
+    by = np.lexsort((ids, -even))
+    even = even[by]
     starts = np.flatnonzero(np.append(True, even[1:] != even[:-1]))
     place = np.arange(len(even)) - np.repeat(starts, np.diff(np.append(starts, len(even))))
-    keep = order[place < k]
+    return order[by[place < k]], kth
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[tuple[np.ndarray, np.ndarray], float]:
+    """The ids and scores at the leading places, and the k-th best score."""
+    keep, kth = leading(ids, scores, k)
     return (ids[keep], scores[keep]), kth
 
 

@@ -100,7 +100,7 @@ def _packed(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)])
 
 
-def _blocks_of(ids: np.ndarray, words: pa.ListArray, range_id: int) -> Iterator[pa.RecordBatch]:
+def _blocks_of(ids: np.ndarray, words: pa.ListArray, range_id: int, positions: bool = True) -> Iterator[pa.RecordBatch]:
     """The header and the blocks of one range."""
     names = [f.split()[0] for f in BLOCK.split(", ")]
     lengths, m = words.value_lengths().to_numpy().astype(np.int64), len(ids)
@@ -129,7 +129,7 @@ def _blocks_of(ids: np.ndarray, words: pa.ListArray, range_id: int) -> Iterator[
         pa.array(np.minimum.reduceat(lengths[at], terms), pa.int32()),
         _packed(_gaps(at, terms), terms),
         _packed(tf, terms),
-        _packed(_gaps(place, postings), postings[terms]),
+        _packed(_gaps(place, postings), postings[terms]) if positions else pa.nulls(len(terms), pa.binary()),
         pa.nulls(len(terms), pa.list_(pa.int64())),
         pa.nulls(len(terms), ints),
     ]
@@ -159,8 +159,9 @@ class InvertedIndex:
         self.buckets, self.n, self.mean = spark.read.schema("buckets int, n bigint, mean double").parquet(f"{path}/about").first()
 
     @classmethod
-    def build(cls, docs: DataFrame, path: str | None = None, id: str = "doc_id", text: str = "text", span: int = SPAN, buckets: int = BUCKETS) -> InvertedIndex:
-        """Writes the index of docs to a new folder and opens it."""
+    def build(cls, docs: DataFrame, path: str | None = None, id: str = "doc_id", text: str = "text", span: int = SPAN, buckets: int = BUCKETS, positions: bool = True) -> InvertedIndex:
+        """Writes the index of docs to a new folder and opens it. Without
+        positions it serves rankings alone."""
         spark = docs.sparkSession
         path = path or shared_path(spark, "inverted")
         n = docs.count()
@@ -175,7 +176,7 @@ class InvertedIndex:
                     part = batch.slice(k, n)
                     k += n
                     order = np.argsort(part.column(0).to_numpy(), kind="stable")
-                    yield from _blocks_of(part.column(0).to_numpy()[order], part.column(1).take(pa.array(order)), at)
+                    yield from _blocks_of(part.column(0).to_numpy()[order], part.column(1).take(pa.array(order)), at, positions)
                     at += 1
 
         rows = docs.filter(F.col(id).isNotNull()).select(F.col(id).cast("bigint").alias("id"), tokens(F.col(text)).alias("words")).mapInArrow(pack, BLOCK)

@@ -12,19 +12,23 @@ order of MaxScore, Turtle and Flood 1995).
 
 Defined cases: those of the inverted index. Of rows with one id each is a
 document, and the best one counts; questions without a known word have no hits.
+In over_documents rows of one id are one document, as in BM25 over the forward
+index, and null is an id, which comes last among equal scores.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.inverted import HEADER, InvertedIndex, _sums, leading, numbers
 from lodestone.operators.ranking import query_terms
+from lodestone.operators.terms import tokenize_docs
 from lodestone.sources.shared import written
 
 #: Documents and, but for a longer range, tokens of a group.
@@ -180,6 +184,9 @@ class ManyQuestions:
         self.few = self.words.count() <= SMALL
         self._gather(index)
 
+    def idf(self) -> Column:
+        return F.log(1 + (self.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
     def _sent(self, df: DataFrame) -> DataFrame:
         return F.broadcast(df) if self.few else df
 
@@ -195,9 +202,8 @@ class ManyQuestions:
             of.append((r, g))
         self.groups = of[-1][1] + 1 if of else 0
         to = F.broadcast(self.spark.createDataFrame(of, "range bigint, g int"))
-        idf = F.log(1 + (self.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
         blocks = index.blocks.filter(F.col("bucket") != HEADER).select("term", "range", "n", "at", "tfs")
-        blocks = blocks.join(self._sent(self.words.select("term", "code", idf.alias("idf"))), "term").join(to, "range").drop("term")
+        blocks = blocks.join(self._sent(self.words.select("term", "code", self.idf().alias("idf"))), "term").join(to, "range").drop("term")
         # columns of their own names, as both sides come from one table
         heads = index.headers().join(to, "range").select(F.col("g").alias("g_"), F.col("range").alias("range_"), F.col("ids").alias("ids"), F.col("lengths").alias("lengths"))
         pack = lambda key, blocks, heads: _pack(key, blocks, heads)
@@ -222,3 +228,34 @@ class ManyQuestions:
         best = found.groupBy("question", "doc_id").agg(F.max(F.struct(F.round("score", 6).alias("score"), "met")).alias("b")).select("question", "doc_id", "b.*")
         best = best.withColumn("rk", rank.cast("bigint")).filter(F.col("rk") <= k)
         return best.join(asked.select("question", "qid"), "question").select("qid", "doc_id", "score", "rk", "met")
+
+
+def over_documents(docs: DataFrame, words: DataFrame, k1: float = 1.2, b: float = 0.75) -> Callable[..., DataFrame]:
+    """best(queries, k): (qid, doc_id, score, rk) of queries that hold these
+    words (term), by the SQL of BM25.
+
+    Only documents whose id is in several rows, or null, are joined with the
+    queries word by word; of the rows of one id those of one length are counted
+    together."""
+    again = written(docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 or doc_id is null").select(F.col("doc_id").alias("again")), "again")
+    if again.isEmpty():
+        ready = ManyQuestions(InvertedIndex.build(docs, positions=False), words, k1, b)
+        return lambda queries, k=1: ready.best(queries, k).drop("met")
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    index = InvertedIndex.build(docs.join(again, same, "left_anti"), positions=False)
+    rest = written(tokenize_docs(docs.join(again, same, "left_semi")), "rest")
+    more, tokens = rest.agg(F.count("*"), F.sum("dl")).first()
+    postings = rest.select("doc_id", "dl", F.explode("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    postings = written(postings.join(words.select("term").distinct(), "term", "left_semi"), "postings")
+    n = index.n + more
+    ready = ManyQuestions(index, words, k1, b, postings.groupBy("term").agg(F.count("*").alias("df")), n, (index.mean * index.n + tokens) / n)
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / ready.mean))
+
+    def best(queries: DataFrame, k: int = 1) -> DataFrame:
+        weighted = query_terms(queries).join(ready.words.select("term", ready.idf().alias("idf")), "term")
+        scores = postings.join(weighted, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+        rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
+        every = ready.best(queries, k).select("qid", "doc_id", "score").unionByName(scores)
+        return every.withColumn("rk", rank.cast("bigint")).filter(F.col("rk") <= k)
+
+    return best

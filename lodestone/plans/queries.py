@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import ENTITIES, HIDDEN, TITLE, tokens
-from lodestone.operators import answers, feedback, inverted, ranking, sentences, temporal, terms
+from lodestone.operators import answers, feedback, inverted, questions, ranking, sentences, temporal, terms
 from lodestone.operators.inverted import InvertedIndex
 from lodestone.operators.terms import Index
 from lodestone.plans.graph import END, StageGraph
@@ -124,7 +124,9 @@ def html_to_text(spark, d):
 def graph_run(spark, d):
     """The reference flow as a graph: route each turn, retrieve for user turns,
     end the others. State: one row a turn with its node and best document."""
-    index = _index(spark, d)
+    turns = table(spark, d, "conversations")
+    asking = turns.filter(answers.next_node(S.long_turn).isin("retrieve", "summarize"))
+    best_of = questions.over_documents(_docs(spark, d), asking.select(F.explode(tokens(F.col("text"))).alias("term")))
 
     def route(state):
         return state.withColumn("node", answers.next_node(S.long_turn))
@@ -134,12 +136,12 @@ def graph_run(spark, d):
 
     def retrieve(state):
         asked = state.select(F.struct("conv_id", "turn").alias("qid"), F.col("text").alias("input"))
-        best = ranking.bm25(index, asked, k=1).select(F.col("qid").alias("asked"), F.col("doc_id").alias("best_doc"))
+        best = best_of(asked).select(F.col("qid").alias("asked"), F.col("doc_id").alias("best_doc"))
         return state.join(best, F.struct("conv_id", "turn").eqNullSafe(F.col("asked")), "left").drop("asked")
 
     graph = StageGraph().add_node("route", route).add_node("summarize", summarize).add_node("retrieve", retrieve)
     graph.add_condition("route", F.col("node"), {"retrieve", "summarize", END}).add_edge("summarize", "retrieve").add_edge("retrieve", END)
-    return graph.compile()(table(spark, d, "conversations")).select("conv_id", "turn", "node", "best_doc")
+    return graph.compile()(turns).select("conv_id", "turn", "node", "best_doc")
 
 
 def _inverted(spark, d) -> InvertedIndex:

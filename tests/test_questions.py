@@ -3,11 +3,14 @@
 import math
 import random
 
+import duckdb
+import pyarrow as pa
 import pytest
 
 from lodestone.operators import feedback, inverted, questions
 from lodestone.operators.inverted import InvertedIndex
 from lodestone.operators.questions import ManyQuestions
+from lodestone.plans import queries
 
 
 def corpus(draw, n):
@@ -67,3 +70,37 @@ def test_the_loop_takes_repeated_rows_and_documents_one_by_one(spark):
     got = sorted((tuple(r) for r in feedback.corrected(index, None, asked).collect()), key=str)
     assert got == sorted([(7, *alone[texts[0]]), (7, *alone[texts[0]]), (7, *alone[texts[1]]), (None, *alone[texts[1]])], key=str)
     assert alone[texts[0]][1] > 1
+
+
+def graph_rows(spark, folder, docs, turns):
+    """The rows of graph_run, and those of its SQL."""
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    want = con.sql(f"SELECT conv_id, turn, node, best_doc FROM ({queries.oracle_sql()['graph_run']})").fetchall()
+    return sorted(map(tuple, queries.graph_run(spark, str(folder)).collect()), key=str), sorted(want, key=str)
+
+
+def turns_of(draw, n):
+    return [(i // 4, i % 4, draw.choice(["user", "user", "system", "assistant"]), t if draw.random() < 0.9 else t * 30) for i, t in enumerate(corpus(draw, n))]
+
+
+@pytest.mark.parametrize("again", [[], [(3, "r1 r2 the0"), (3, "r1 r5 the1"), (4, "c1 c1 the0 r9 r9 r9"), (None, "r1 r2 r3"), (None, "r1 r1 r2")]])
+def test_the_graph_equals_its_sql_with_repeated_and_missing_ids(spark, tmp_path, again):
+    draw = random.Random(8)
+    docs = [(i, t) for i, t in enumerate(corpus(draw, 200))] + 2 * again
+    turns = [*turns_of(draw, 80), (90, 0, "user", "r1 r2 r3"), (90, 1, "user", "the0 the1"), (90, 2, "user", "nobody"), (91, 0, "user", ""), (91, 1, "user", "r9 c1")]
+    got, want = graph_rows(spark, tmp_path, docs, turns)
+    assert got == want and len({r[3] for r in got}) > 5
+
+
+def test_only_the_best_of_each_question_leaves_a_task(spark):
+    """All questions share a word with all documents."""
+    docs = spark.createDataFrame([(i, f"the w{i} v{i % 7}") for i in range(400)], "doc_id long, text string")
+    ready = ManyQuestions(InvertedIndex.build(docs, positions=False))
+    code = {r.term: r.code for r in ready.words.collect()}
+    asked = pa.table({"question": list(range(300)), "codes": [sorted([code["the"], code[f"w{i}"]]) for i in range(300)]})
+    found = questions._score(ready.packs.toArrow(), asked, 1, ready.k1, ready.b, ready.mean)
+    assert found["question"].to_pylist() == found["doc_id"].to_pylist() == list(range(300)) and set(found["met"].to_pylist()) == {2}

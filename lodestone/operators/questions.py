@@ -32,19 +32,20 @@ from lodestone.operators.terms import tokenize_docs
 from lodestone.sources.shared import written
 
 #: Documents and, but for a longer range, tokens of a group.
-GROUP, TOKENS = 1 << 15, 24_000_000
+GROUP, TOKENS = 1 << 14, 12_000_000
 #: A word is common if more than one in so many of a group's documents holds it.
-COMMON = 8
+COMMON = 4
 #: Questions of a share at most; a share has LEAST if there are so many.
 SHARE, LEAST = 1 << 18, 512
 #: Words up to which they are sent to all tasks.
 SMALL = 100_000
 #: Postings that are unpacked at once.
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 #: Rounding to six digits may lift a score by half a unit of the last one.
 SLACK = 2e-6
 NUMBERS = {"ids": np.int64, "lengths": np.int32, "codes": np.int64, "idfs": np.float64, "rows": np.int32, "first": np.int32, "n": np.int32, "at_bytes": np.int32, "tf_bytes": np.int32}
 PACKED = ", ".join(["g int", *(f"{c} binary" for c in (*NUMBERS, "at", "tfs"))])
+NONE = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
 FOUND = pa.schema([("question", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64()), ("met", pa.int64())])
 
 
@@ -84,17 +85,16 @@ class _Group:
         self.starts = np.append(ends[own["rows"]], ends[-1])
         self.docs, self.adds = np.empty(ends[-1], np.int32), np.empty(ends[-1])
         at, tfs = np.frombuffer(row["at"], np.uint8), np.frombuffer(row["tfs"], np.uint8)
-        x = 0
+        idf, x = np.repeat(own["idfs"], np.diff(np.append(own["rows"], len(n)))), 0
         while x < len(n):
             y = max(x + 1, int(np.searchsorted(ends, ends[x] + STRETCH, "right")) - 1)
             here = slice(ends[x], ends[y])
             docs = _sums(numbers(at[at_ends[x] : at_ends[y]]), ends[x:y] - ends[x]) + np.repeat(own["first"][x:y], n[x:y])
             tf = numbers(tfs[tf_ends[x] : tf_ends[y]])
             self.docs[here] = docs
-            self.adds[here] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * own["lengths"][docs] / mean))
+            self.adds[here] = np.repeat(idf[x:y], n[x:y]) * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * own["lengths"][docs] / mean)))
             x = y
         df = np.diff(self.starts)
-        self.adds *= np.repeat(own["idfs"], df)
         self.most = np.maximum.reduceat(self.adds, self.starts[:-1])
         common = np.flatnonzero(df > len(self.ids) / COMMON)
         self.line = np.full(len(df), -1)
@@ -108,13 +108,15 @@ class _Group:
         """The places of the k best documents of a question, and of those that
         rounding may put among them, their scores, and how many of the words
         each holds. words: places in codes."""
-        rare = [slice(self.starts[t], self.starts[t + 1]) for t in words if self.line[t] < 0]
-        shared = words[self.line[words] >= 0]
+        lines = self.line[words]
+        own, shared = words[lines < 0], words[lines >= 0]
         shared = shared[np.argsort(-self.most[shared], kind="stable")]
         lines = self.line[shared]
-        rest = np.append(np.cumsum(self.most[shared][::-1])[::-1], 0.0)  # what the words from each one on can add
-        docs, sums, floor = np.zeros(0, np.int32), np.zeros(len(self.ids)), 0.0
-        if rare:
+        rest = [0.0, *np.cumsum(self.most[shared][::-1]).tolist()][::-1]  # what the words from each one on can add
+        lines = lines.tolist()
+        docs, floor = np.zeros(0, np.int32), 0.0
+        if len(own):
+            rare = [slice(*x) for x in zip(self.starts[own].tolist(), self.starts[own + 1].tolist())]
             docs = np.concatenate([self.docs[s] for s in rare])
             sums = np.bincount(docs, np.concatenate([self.adds[s] for s in rare]), len(self.ids))
             first = np.flatnonzero(sums >= 0.85 * sums.max())
@@ -122,7 +124,9 @@ class _Group:
                 whole = sums[first]
                 for i in lines:
                     whole += self.common[i][first]
-                floor = max(floor, whole.max() if k == 1 else leading(self.ids[first], whole, k)[1])
+                floor = max(floor, float(whole.max()) if k == 1 else leading(self.ids[first], whole, k)[1])
+        else:
+            sums = np.zeros(len(self.ids))
         done = 0
         while True:
             at = np.flatnonzero(sums >= floor - rest[done] - SLACK)
@@ -136,15 +140,15 @@ class _Group:
             keep = scores >= floor - rest[j + 1] - SLACK
             if np.count_nonzero(keep) < 0.75 * len(at):
                 at, scores = at[keep], scores[keep]
+        if k == 1 and len(at):
+            floor = max(floor, float(scores.max()))
         keep = (scores > 0) & (scores >= floor - SLACK)
         at, scores = at[keep], scores[keep]
-        if k == 1 and len(at) > 1:
-            keep = scores >= scores.max() - SLACK
+        if len(at) > 1:
+            keep, _ = leading(self.ids[at], scores, k)
             at, scores = at[keep], scores[keep]
-        keep, _ = leading(self.ids[at], scores, k)
-        at, scores = at[keep], scores[keep]
-        met = np.count_nonzero(self.common[lines][:, at], axis=0) if len(lines) else np.zeros(len(at), np.int64)
-        return at, scores, met + np.array([np.count_nonzero(docs == x) for x in at], np.int64)
+        met = [np.count_nonzero(docs == x) + np.count_nonzero(self.common[lines, x]) for x in at.tolist()]
+        return at, scores, np.array(met, np.int64)
 
 
 def _score(packs: pa.Table, questions: pa.Table, k: int, k1: float, b: float, mean: float) -> pa.Table:
@@ -152,19 +156,18 @@ def _score(packs: pa.Table, questions: pa.Table, k: int, k1: float, b: float, me
     if not packs.num_rows or not questions.num_rows:
         return FOUND.empty_table()
     group = _Group({c: packs[c][0].as_buffer() for c in packs.column_names if c not in ("g", "share")}, k1, b, mean)
-    out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]]
+    out = []
     for batch in questions.to_batches():
         lists = batch.column("codes")
         codes, ends = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
         places = np.minimum(np.searchsorted(group.codes, codes), len(group.codes) - 1)
         known = group.codes[places] == codes
-        ends, places = np.append(0, np.cumsum(known))[ends], places[known]
-        for i, question in enumerate(batch.column("question").to_pylist()):
-            if ends[i] < ends[i + 1]:
-                at, scores, met = group.best(places[ends[i] : ends[i + 1]], k)
-                for column, values in zip(out, (np.full(len(at), question), group.ids[at], scores, met)):
-                    column.append(values)
-    return pa.Table.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(out, FOUND.types)], schema=FOUND)
+        ends, places = np.append(0, np.cumsum(known))[ends].tolist(), places[known]
+        own = [group.best(places[x:y], k) if x < y else NONE for x, y in zip(ends, ends[1:])]
+        at, scores, met = (np.concatenate(c) for c in zip(*own))
+        asked = np.repeat(batch.column("question").to_numpy(), [len(x) for x, _, _ in own])
+        out.append(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((asked, group.ids[at], scores, met), FOUND.types)], schema=FOUND))
+    return pa.Table.from_batches(out, FOUND)
 
 
 class ManyQuestions:

@@ -18,6 +18,8 @@ index, and null is an id, which comes last among equal scores.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable
 from functools import partial
 
@@ -56,11 +58,20 @@ def _bytes(values: pa.ChunkedArray) -> tuple[bytes, np.ndarray]:
     return whole.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes(), np.diff(ends)
 
 
+def _trimmed() -> None:
+    """Gives back to the system what earlier work of this process has freed; it
+    would count beside a group."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems' libraries may lack it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _pack(key, blocks: pa.Table, heads: pa.Table) -> pa.Table:
     """One row of a group's blocks, by word and range."""
     schema = pa.schema([("g", pa.int32()), *((c.split()[0], pa.binary()) for c in PACKED.split(", ")[1:])])
     if not blocks.num_rows:
         return schema.empty_table()
+    _trimmed()
     heads = heads.sort_by("range_")
     lengths = heads["lengths"].combine_chunks()
     sizes = lengths.value_lengths().to_numpy()
@@ -155,6 +166,7 @@ def _score(packs: pa.Table, questions: pa.Table, k: int, k1: float, b: float, me
     """(question, doc_id, score, met) of a share's questions in a group."""
     if not packs.num_rows or not questions.num_rows:
         return FOUND.empty_table()
+    _trimmed()
     group = _Group({c: packs[c][0].as_buffer() for c in packs.column_names if c not in ("g", "share")}, k1, b, mean)
     out = []
     for batch in questions.to_batches():

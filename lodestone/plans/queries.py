@@ -182,7 +182,8 @@ def _asked_turns(spark, d) -> DataFrame:
 def corrective_loop(spark, d):
     """User turns through retrieve, grade and rewrite until each has ended."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return feedback.corrected(_inverted(spark, d), docs, _asked_turns(spark, d), S.enough, S.retrievals)
+    index = InvertedIndex.build(_docs(spark, d), positions=False)
+    return feedback.corrected(index, docs, _asked_turns(spark, d), S.enough, S.retrievals)
 
 
 def near_spellings(spark, d):
